@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import near
+from . import near, packing, rules, tokens
 
 QUERIES = {
+    "op3_token_counts": tokens.op3_token_counts,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op4_quality_rules": rules.op4_quality_rules,
     "op9_ngram_jaccard_join": near.op9_ngram_jaccard_join,
 }
 
 SQL = {
+    "op4_quality_rules": rules.SQL,
     "op9_ngram_jaccard_join": near.SQL,
 }
