@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near, packing, rules, tokens
+from . import near, packing, repeats, rules, tokens
 
 QUERIES = {
+    "op2_substring_dedup": repeats.op2_substring_dedup,
     "op3_token_counts": tokens.op3_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op4_quality_rules": rules.op4_quality_rules,
