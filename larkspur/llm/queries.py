@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near, packing, repeats, rules, tokens
+from . import near, packing, repeats, rules, tokens, topk
 
 QUERIES = {
+    "op6_exact_top_k": topk.op6_exact_top_k,
     "op2_substring_dedup": repeats.op2_substring_dedup,
     "op3_token_counts": tokens.op3_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_exact_top_k": topk.SQL,
     "op4_quality_rules": rules.SQL,
     "op9_ngram_jaccard_join": near.SQL,
 }
