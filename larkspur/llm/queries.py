@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import near, packing, repeats, rules, tokens, topk
+from . import near, packing, pii, repeats, rules, tokens, topk
 
 QUERIES = {
+    "op8_pii": pii.op8_pii,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op2_substring_dedup": repeats.op2_substring_dedup,
     "op3_token_counts": tokens.op3_token_counts,
