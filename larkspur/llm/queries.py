@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import near, packing, pii, repeats, rules, tokens, topk
+from . import mixing, near, packing, pii, repeats, rules, sites, tokens, topk
 
 QUERIES = {
+    "op5_quality_classifier": sites.op5_quality_classifier,
+    "op7_mixing": mixing.op7_mixing,
     "op8_pii": pii.op8_pii,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op2_substring_dedup": repeats.op2_substring_dedup,
