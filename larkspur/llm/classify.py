@@ -49,6 +49,9 @@ def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 WIDTH = BUCKETS + 7 * BINS
+#: A statistic counts as much as several words, or the many words of a text would drown it.
+_VALUE = np.ones(WIDTH)
+_VALUE[BUCKETS:] = 10
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -57,10 +60,10 @@ def softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def _scores(row: np.ndarray, feature: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
-    return np.stack([np.bincount(row, w[feature], n) for w in weights], axis=1)
+    return np.stack([np.bincount(row, w[feature], n) for w in weights * _VALUE], axis=1)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = STEPS, penalty: float = 3e-5) -> np.ndarray:
+def fit(rows: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = STEPS, penalty: float = 1e-3) -> np.ndarray:
     """Weights (classes, WIDTH) by maximum likelihood with an L2 penalty, full-batch Adam."""
     weights, first, second = (np.zeros((classes, WIDTH)) for _ in range(3))
     if not len(rows):
@@ -70,7 +73,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = S
     wanted = np.eye(classes)[labels]
     for step in range(1, steps + 1):
         error = (softmax(_scores(row, feature, len(rows), weights)) - wanted) / len(rows)
-        slope = np.stack([np.bincount(feature, error[row, c], WIDTH) for c in range(classes)]) + penalty * weights
+        slope = np.stack([np.bincount(feature, error[row, c], WIDTH) for c in range(classes)]) * _VALUE + penalty * weights
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         weights = weights - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
