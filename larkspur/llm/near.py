@@ -218,27 +218,14 @@ def _candidates(threshold: float):
     return run
 
 
-def _sets(n: int):
-    """(doc_id, text, buckets) to one row a bucket with the sorted n-grams of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                h, at = Words(part.column("text")).shingles(n)
-                ids, buckets = part.column("doc_id").to_pylist(), part.column("buckets").to_pylist()
-                grams = [h[at[i] : at[i + 1]].tobytes() for i in range(len(ids))]
-                rows = [(k, i) for i, own in enumerate(buckets) for k in own]
-                yield pa.record_batch(
-                    [
-                        pa.array([k for k, _ in rows], pa.int64()),
-                        pa.array([ids[i] for _, i in rows], pa.int64()),
-                        pa.nulls(len(rows), pa.int64()),
-                        pa.array([grams[i] for _, i in rows], pa.binary()),
-                    ],
-                    names=["h", "a", "b", "grams"],
-                )
-
-    return run
+def _grams(table: pa.Table, rows: np.ndarray, n: int) -> list[np.ndarray]:
+    """The sorted n-grams of the texts in these rows."""
+    batch = pa.record_batch([table.column("text").take(pa.array(rows)).combine_chunks()], names=["text"])
+    out: list[np.ndarray] = []
+    for part in slices(batch, "text"):
+        h, at = Words(part.column("text")).shingles(n)
+        out += [h[at[i] : at[i + 1]] for i in range(len(at) - 1)]
+    return out
 
 
 def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -270,13 +257,14 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return out
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "h"):
             h, a = table.column("h").to_numpy(), table.column("a").to_numpy()
             is_set = table.column("b").is_null().to_numpy()
             b = table.column("b").fill_null(0).to_numpy()
-            grams = table.column("grams").to_pylist()
+            texts = np.flatnonzero(is_set)
+            grams = dict(zip(texts.tolist(), _grams(table, texts, n)))
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             bounds = np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)]
             for s, e in zip(bounds[:-1], bounds[1:]):
@@ -286,7 +274,7 @@ def _verify(threshold: float):
                 pairs = here[~is_set[here]]
                 if not len(pairs) or not len(ids):
                     continue
-                sets = [np.frombuffer(grams[r], np.uint64) for r in rows]
+                sets = [grams[r] for r in rows.tolist()]
                 i, j = np.searchsorted(ids, a[pairs]), np.searchsorted(ids, b[pairs])
                 size = np.array([len(x) for x in sets])
                 both = _overlaps(sets, i, j)
@@ -335,10 +323,13 @@ def ngram_jaccard_join(
         .groupBy("doc_id")
         .agg(F.collect_set("h").alias("buckets"))
     )
-    sets = docs.join(needed, "doc_id").mapInArrow(_sets(n), "h long, a long, b long, grams binary")
-    both = sets.unionByName(found.withColumn("grams", F.lit(None).cast("binary")))
+    # A sort-merge join at every size: the planner would broadcast the ids of a small corpus.
+    texts = docs.join(needed.hint("merge"), "doc_id").select(
+        F.explode("buckets").alias("h"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text"
+    )
+    both = texts.unionByName(found.withColumn("text", F.lit(None).cast("string")))
     verified = (
-        both.repartition("h").sortWithinPartitions("h").mapInArrow(_verify(threshold), "doc_a long, doc_b long, jaccard double")
+        both.repartition("h").sortWithinPartitions("h").mapInArrow(_verify(threshold, n), "doc_a long, doc_b long, jaccard double")
     )
     return verified.dropDuplicates(["doc_a", "doc_b"]).unionByName(copies)
 

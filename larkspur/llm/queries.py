@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, near, packing, pii, repeats, rules, sites, tokens, topk
+from . import extraction, mixing, near, packing, pii, repeats, rules, sites, tokens, topk
 
 QUERIES = {
+    "op1_html_extraction": extraction.op1_html_extraction,
     "op5_quality_classifier": sites.op5_quality_classifier,
     "op7_mixing": mixing.op7_mixing,
     "op8_pii": pii.op8_pii,
