@@ -124,6 +124,18 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
 
 
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of docs, each as often as its rate asks for. Rows that share an id share the mean of
+    their rates; a row with a null id stays once. All columns are kept."""
+    found = mix(docs, labels, id_col=id_col, text_col=text_col, **options).where("doc_id IS NOT NULL")
+    often = found.groupBy(F.col("doc_id").alias("_mixed")).agg(copies(F.round(F.avg("rate"), 6), F.col("_mixed")).alias("_often"))
+    # Almost every document stays once, so only the ids of the others are joined.
+    other = often.where("_often <> 1")
+    joined = docs.join(other, F.col(id_col).cast("long") == F.col("_mixed"), "left")
+    repeats = F.explode(F.sequence(F.lit(1), F.coalesce("_often", F.lit(1)))).alias("_time")
+    return joined.where("_often IS NULL OR _often > 0").select(*(docs[c] for c in docs.columns), repeats).drop("_time")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.withColumn("rate", F.round("rate", 6))

@@ -369,6 +369,21 @@ def components(pairs: DataFrame, a: str = "doc_a", b: str = "doc_b") -> DataFram
         edges = small.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct()
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs less all but one of each group of near copies: the least id of a chain of
+    pairs stays. Of rows that share an id, the one with the least text stays; rows with a null id
+    all stay. All columns are kept."""
+    key = F.col(id_col)
+    often = docs.groupBy(key.cast("long").alias("_again")).count().where("_again IS NOT NULL AND count > 1").select("_again")
+    again = docs.join(often, key.cast("long") == F.col("_again"), "left_semi")
+    least = Window.partitionBy(key.cast("long")).orderBy(F.col(text_col).asc_nulls_last())
+    first = again.withColumn("_place", F.row_number().over(least)).where("_place = 1").drop("_place")
+    single = docs.join(often, key.cast("long") == F.col("_again"), "left_anti").unionByName(first)
+    leaders = components(ngram_jaccard_join(docs, id_col, text_col, **options))
+    lost = leaders.where("doc_id <> leader").select(F.col("doc_id").alias("_lost"))
+    return single.join(lost, F.col(id_col).cast("long") == F.col("_lost"), "left_anti")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return pairs.withColumn("jaccard", F.round("jaccard", 6))

@@ -341,5 +341,20 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     return texts.mapInPandas(run, "doc_id long, entities array<struct<start:int,stop:int,kind:string>>, text string")
 
 
+def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", weights: np.ndarray | None = None) -> DataFrame:
+    """All rows and columns of docs, the entities in texts replaced by their kinds in brackets and
+    the length, where there is such a column, brought up to date."""
+    table = (train() if weights is None else weights).tolist()
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: masked(t, decode(t, table)) if isinstance(t, str) and _HOT.search(t) else t)
+
+    out = docs.withColumn(text_col, mask(F.col(text_col)))
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"))

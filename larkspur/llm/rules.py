@@ -85,29 +85,20 @@ def choose(counts: dict[tuple[str, str, float], tuple[int, int, int, int]], alph
     return {k: cutoff for k, (_, cutoff) in best.items()}
 
 
-def quality_rules(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    stratum_col: str = "lang",
-    alpha: float = ALPHA,
-    delta: float = DELTA,
-) -> DataFrame:
-    """doc_id, stratum, keep and the failed rules, joined with commas, of every document.
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
 
-    Only counts for each stratum and cutoff reach the driver. Scores are computed once and written.
+def certified_cutoffs(
+    scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA
+) -> dict[tuple[str, str], float]:
+    """Cutoffs of (stratum, rule) from the columns doc_id, stratum and the rules' scores.
+
+    Only counts for each stratum and cutoff reach the driver.
     """
-    of = scores(F.col("text"))
-    scored = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text")).select(
-            "doc_id", "stratum", *(c.alias(name) for name, c in of.items())
-        ),
-        "rule-scores",
-    )
     known = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL")
     good, bad = F.col("quality") == 1, F.col("quality") != 1
-    cells = [(rule, cutoff) for rule in of for cutoff in GRIDS[rule]]
+    cells = [(rule, cutoff) for rule in GRIDS for cutoff in GRIDS[rule]]
     counted = (
         scored.join(known, "doc_id")
         .groupBy("stratum")
@@ -123,17 +114,66 @@ def quality_rules(
         for row in counted.toLocalIterator()
         for i, (rule, c) in enumerate(cells)
     }
-    cutoffs = choose(counts, alpha, delta)
-    failed = F.array(
-        *(
-            F.when(F.col("stratum") == stratum, F.when(F.col(rule) > cutoff, F.lit(rule)))
-            for (stratum, rule), cutoff in sorted(cutoffs.items(), key=lambda x: (list(of).index(x[0][1]), x[0][0]))
-        )
-    )
-    failed = F.array_compact(failed) if cutoffs else F.array().cast("array<string>")
+    return choose(counts, alpha, delta)
+
+
+def failures(cutoffs: dict[tuple[str, str], float], stratum: Column, of: dict[str, Column]) -> list[Column]:
+    """For each rule that is on anywhere, its name where the score is above the stratum's cutoff, else null."""
+    out = []
+    for rule, score in of.items():
+        own = sorted((s, c) for (s, r), c in cutoffs.items() if r == rule)
+        if own:
+            limit = F.lit(float("inf"))
+            for s, c in own:
+                limit = F.when(stratum == s, F.lit(c)).otherwise(limit)
+            out.append(F.when(score > limit, F.lit(rule)))
+    return out
+
+
+def _scored(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    narrow = docs.select(F.col(id_col).alias("doc_id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    return narrow.select("doc_id", "stratum", *(c.alias(name) for name, c in scores(F.col("text")).items()))
+
+
+def quality_rules(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum_col: str = "lang",
+    alpha: float = ALPHA,
+    delta: float = DELTA,
+) -> DataFrame:
+    """doc_id, stratum, keep and the failed rules, joined with commas, of every document.
+
+    Scores are computed once and written.
+    """
+    scored = materialise(_scored(docs, id_col, text_col, stratum_col), "rule-scores")
+    cutoffs = certified_cutoffs(scored, labels, id_col, alpha, delta)
+    failed = failures(cutoffs, F.col("stratum"), {rule: F.col(rule) for rule in GRIDS})
+    failed = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     return scored.select("doc_id", "stratum", (F.size(failed) == 0).alias("keep"), F.array_join(failed, ",").alias("failed"))
 
 
+def passing(
+    docs: DataFrame,
+    labels: DataFrame,
+    label_docs: DataFrame | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    stratum_col: str = "lang",
+    alpha: float = ALPHA,
+    delta: float = DELTA,
+) -> DataFrame:
+    """The rows of docs that fail no rule, with all their columns and without a shuffle of texts.
+    label_docs: texts that labels speak of, docs unless given."""
+    cutoffs = certified_cutoffs(_scored(docs if label_docs is None else label_docs, id_col, text_col, stratum_col), labels, id_col, alpha, delta)
+    out = docs
+    for failed in failures(cutoffs, _stratum(stratum_col), scores(F.col(text_col))):
+        out = out.where(failed.isNull())
+    return out
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
