@@ -227,13 +227,13 @@ def rerank_lexical(spark, sf_dir):
     return _show(lexical_rerank(hybrid(spark, sf_dir), asked(spark, sf_dir), chunks(spark, sf_dir), 8), "source")
 
 
-@query(f"""{_HYBRID}{_fuse(60)}, x AS (SELECT f.*, bs.score AS given FROM f LEFT JOIN bs USING (query_id, chunk_id)),
-y AS (SELECT *, CASE WHEN given IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY given DESC NULLS LAST, rank) END AS remote,
+@query(f"""{_HYBRID}{_fuse(60)}, x AS (SELECT f.query_id, f.chunk_id, f.score, f.rank AS place, bs.score AS given FROM f LEFT JOIN bs USING (query_id, chunk_id)),
+y AS (SELECT *, CASE WHEN given IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY given DESC NULLS LAST, place) END AS remote,
   coalesce(given, min(given) OVER (PARTITION BY query_id), 0) AS r, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM x),
 z AS (SELECT *, CASE WHEN hi - lo < 1e-12 THEN 0.5 ELSE (score - lo) / (hi - lo) END AS sn, min(r) OVER (PARTITION BY query_id) AS rl, max(r) OVER (PARTITION BY query_id) AS rh FROM y),
 w AS (SELECT *, CASE WHEN rh - rl < 1e-12 THEN 0.5 ELSE (r - rl) / (rh - rl) END AS rn FROM z)
 SELECT query_id, chunk_id, round(0.65 * rn + 0.35 * sn, 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY round(0.65 * rn + 0.35 * sn, 9) DESC, round(rn, 9) DESC, remote NULLS LAST, rank) AS rank FROM w QUALIFY rank <= 8""")
+  row_number() OVER (PARTITION BY query_id ORDER BY round(0.65 * rn + 0.35 * sn, 9) DESC, round(rn, 9) DESC, remote NULLS LAST, place) AS rank FROM w QUALIFY rank <= 8""")
 def rerank_blend(spark, sf_dir):
     """The scores of the reranker are those of BM25, here over all documents."""
     given = bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 2**31 - 1).select("query_id", "chunk_id", F.col("score").alias("rerank_score"))
