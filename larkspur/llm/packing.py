@@ -21,7 +21,6 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +68,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def _pack(capacity: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
-        ids, n = table.column("doc_id").to_numpy(), table.column("n_tokens").to_numpy()
+        n = table.column("n_tokens").to_numpy()
         parts = -(-n // capacity)
         row = np.repeat(np.arange(len(n)), parts)
         part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -77,7 +76,7 @@ def _pack(capacity: int):
         bins, offsets = sum_of_squares(size, capacity)
         return pa.table(
             {
-                "doc_id": ids[row],
+                "doc_id": table.column("doc_id").take(pa.array(row)),
                 "part": part.astype(np.int32),
                 "seq_id": (np.int64(key[0].as_py()) << np.int64(32)) + bins,
                 "seq_offset": offsets.astype(np.int32),

@@ -27,6 +27,7 @@ from math import log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,17 +329,22 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     """doc_id, entities (start, stop, kind) and the masked text of documents with entities."""
     table = (train() if weights is None else weights).tolist()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, text in zip(frame["doc_id"], frame["text"]):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, entities, texts = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 found = decode(text, table)
                 if found:
-                    rows.append((i, [{"start": a, "stop": b, "kind": k} for a, b, k in found], masked(text, found)))
-            yield pd.DataFrame(rows, columns=["doc_id", "entities", "text"]).astype({"doc_id": "Int64"})
+                    rows.append(i)
+                    entities.append([{"start": a, "stop": b, "kind": k} for a, b, k in found])
+                    texts.append(masked(text, found))
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([ids, pa.array(entities, kind), pa.array(texts, pa.string())], names=["doc_id", "entities", "text"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    return texts.mapInPandas(run, "doc_id long, entities array<struct<start:int,stop:int,kind:string>>, text string")
+    return texts.mapInArrow(run, "doc_id long, entities array<struct<start:int,stop:int,kind:string>>, text string")
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", weights: np.ndarray | None = None) -> DataFrame:

@@ -135,17 +135,21 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(block_bytes: int):
     """(file) to (file, block, start, stop) in tokens."""
-    for batch in batches:
-        for name in batch.column("file").to_pylist():
-            store, place = _store(name)
-            size = store.get_file_info(place).size // 2
-            starts = np.arange(0, size, BLOCK_BYTES // 2)
-            yield pa.record_batch(
-                [pa.array([name] * len(starts)), pa.array(np.arange(len(starts))), pa.array(starts), pa.array(np.minimum(starts + BLOCK_BYTES // 2, size))],
-                names=["file", "block", "start", "stop"],
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                store, place = _store(name)
+                size = store.get_file_info(place).size // 2
+                starts = np.arange(0, size, block_bytes // 2)
+                yield pa.record_batch(
+                    [pa.array([name] * len(starts), pa.string()), pa.array(np.arange(len(starts))), pa.array(starts), pa.array(np.minimum(starts + block_bytes // 2, size))],
+                    names=["file", "block", "start", "stop"],
+                )
+
+    return run
 
 
 def _scan(separator: int):
@@ -164,13 +168,13 @@ def _scan(separator: int):
     return run
 
 
-def separator_scan(files: DataFrame, separator: int = SEPARATOR) -> DataFrame:
+def separator_scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, ordinal, start, n_tokens, closed) of every document of the flat files in column file.
 
     A block's row holds only the places of its separators, so that the window over the blocks of a
     file, the prefix scan, moves a small part of what the scan reads.
     """
-    blocks = files.select("file").distinct().mapInArrow(_blocks, "file string, block long, start long, stop long")
+    blocks = files.select("file").distinct().mapInArrow(_blocks(block_bytes), "file string, block long, start long, stop long")
     found = blocks.repartition("file", "block").mapInArrow(_scan(separator), "file string, block long, stop long, n long, last long, ends array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
