@@ -11,6 +11,11 @@ from ..functions.text import content_tokens, critical_terms, is_abstention, norm
 DEPTHS, SUPPORT = (1, 3, 5, 10), 0.5
 
 
+def _let(a: Column, b: Column, f) -> Column:
+    """f(a, b) with both computed once for a row: inside a lambda they would be computed for each element."""
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: f(x["a"], x["b"])), 1)
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Size of the intersection of two multisets."""
     often = lambda x, t: F.size(F.filter(x, lambda y: y == t))
@@ -19,7 +24,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 def coverage(expected: Column, text: Column) -> Column:
     """Share of the expected content tokens that the text has."""
-    return _share(content_tokens(expected), content_tokens(text))
+    return _let(content_tokens(expected), content_tokens(text), _share)
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -27,20 +32,19 @@ def _share(a: Column, b: Column) -> Column:
 
 
 def token_f1(a: Column, b: Column) -> Column:
-    x, y = content_tokens(a), content_tokens(b)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2 * overlap(x, y) / (F.size(x) + F.size(y))).otherwise(0.0)
+    f1 = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), 2 * overlap(x, y) / (F.size(x) + F.size(y))).otherwise(0.0)
+    return _let(content_tokens(a), content_tokens(b), f1)
 
 
 def sentence_support(answer: Column, evidence: Column, threshold: float = SUPPORT) -> Column:
     """For each sentence of the answer: its text, support, and whether it is supported."""
-    known, whole = content_tokens(evidence), normalize_lower(evidence)
 
-    def one(s: Column) -> Column:
-        score = _share(content_tokens(s), known)
+    def one(s: Column, known: Column, whole: Column) -> Column:
+        score = _let(content_tokens(s), known, _share)
         sure = F.forall(critical_terms(s), lambda t: F.contains(whole, normalize_lower(t)))
         return F.struct(s.alias("sentence"), score.alias("support"), ((score >= threshold) & sure).alias("supported"))
 
-    return F.transform(sentences(answer), one)
+    return _let(content_tokens(evidence), normalize_lower(evidence), lambda known, whole: F.transform(sentences(answer), lambda s: one(s, known, whole)))
 
 
 def answer_metrics(rows: DataFrame, answer: str, evidence: str, threshold: float = SUPPORT) -> DataFrame:
