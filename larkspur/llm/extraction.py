@@ -6,10 +6,14 @@ all places by the MIN_TOKENS tokens that follow, by doubling. Neighbours in it t
 of these and come from two pages or more are a long substring repeated across pages; all tokens
 that such a substring covers are boilerplate. The runs of tokens between them are kept.
 
+A block, which is the text between two tags that aren't inline, may be shorter than that: menu items,
+ads and footers mostly are. Such a block is boilerplate as a whole, whatever its length, if a block
+of another page of the host has the same tokens.
+
 A longer repeat is covered by its windows of MIN_TOKENS tokens, so the array needs no greater
 depth. That also lets the array of a large host be divided exactly: a window belongs to the shard
 that the least hash of its 4-grams chooses, which equal windows share, and neighbouring windows of
-one shard travel together. A host above BIG_BYTES of HTML is sorted in shards of about that size,
+one shard travel together; a short block belongs to a shard of blocks that its own hash chooses. A host above BIG_BYTES of HTML is sorted in shards of about that size,
 and the covered places return to its pages by a join; a smaller host is one task.
 
 Defined results: null html is an empty page; a null or unreadable url has the host ""; rows with a
@@ -37,6 +41,8 @@ MIN_TOKENS, BIG_BYTES, MOST_BROADCAST = 20, 16 << 20, 1_000_000
 _GRAM = 4
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<[^<>]*>")
+_INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr"
+_EDGE = re.compile(rf"<(?!/?(?:{_INLINE.replace(' ', '|')})[\s/>])[^<>]*>", re.I)
 
 
 def visible(page: str | None) -> str:
@@ -44,9 +50,15 @@ def visible(page: str | None) -> str:
     return " ".join(html.unescape(_TAG.sub(" ", _DROP.sub(" ", page or ""))).split())
 
 
+def blocks(page: str | None) -> str:
+    """The same tokens, a line for each block that has any."""
+    lines = (" ".join(html.unescape(_TAG.sub(" ", x)).split()) for x in _EDGE.split(_DROP.sub(" ", page or "")))
+    return "\n".join(filter(None, lines))
+
+
 def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, and the offsets of the texts among them."""
-    counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+    counts = np.array([t.count(b" ") + t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
     parts, i = [], 0
     while i < len(texts):
         j, size = i, 0
@@ -57,7 +69,7 @@ def token_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         power, inverse = _power_tables(len(data) + 1)
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-        gaps = np.flatnonzero(data == 32)
+        gaps = np.flatnonzero((data == 32) | (data == 10))
         starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(data)]
         if len(data):
             parts.append(mix((prefix[ends] - prefix[starts]) * inverse[starts]))
@@ -109,8 +121,41 @@ def covered(tokens: np.ndarray, first: np.ndarray, pages: np.ndarray, depth: int
     return out
 
 
+def block_starts(texts: list[bytes]) -> np.ndarray:
+    """The first token of each block of all texts."""
+    counts = np.array([x.count(b" ") + 1 for t in texts if t for x in t.split(b"\n")], np.int64)
+    return np.cumsum(counts) - counts
+
+
+def block_hashes(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens starts .. ends, the latter left out."""
+    power, inverse = _power_tables(len(tokens) + 1)
+    prefix = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * power[: len(tokens)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+
+
+def short_blocks(texts: list[bytes], tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and ends of the blocks that are shorter than a window."""
+    starts = block_starts(texts)
+    ends = np.r_[starts[1:], len(tokens)][: len(starts)]
+    short = ends - starts < depth
+    return starts[short], ends[short]
+
+
+def on_two_pages(hashes: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Which of the hashes two different pages hold."""
+    _, group = np.unique(hashes, return_inverse=True)
+    order = np.lexsort((pages, group))
+    heads = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0]) if len(order) else order
+    last = np.r_[heads[1:], len(order)][: len(heads)] - 1
+    twice = pages[order[heads]] < pages[order[last]]
+    return twice[group]
+
+
 def _unique_runs(text: bytes, drop: np.ndarray) -> str:
     """Runs of tokens that aren't dropped, one a line."""
+    text = text.replace(b"\n", b" ")
     if not drop.any():
         return text.decode()
     runs, last = [], False
@@ -144,7 +189,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
-            texts = [pack.compress(visible(x).encode("utf-8", "replace")) for x in part.column("html").to_pylist()]
+            texts = [pack.compress(blocks(x).encode("utf-8", "replace")) for x in part.column("html").to_pylist()]
             yield pa.record_batch([part.column("page_id"), part.column("host"), pa.array(texts, pa.binary())], names=["page_id", "host", "text"])
 
 
@@ -159,13 +204,18 @@ def _whole_host(depth: int):
         ids = table.column("page_id").to_numpy()
         tokens, first = token_hashes(texts)
         drop = covered(tokens, first, ids, depth)
+        starts, ends = short_blocks(texts, tokens, depth)
+        twice = on_two_pages(block_hashes(tokens, starts, ends), ids[np.searchsorted(first, starts, "right") - 1])
+        for a, b in zip(starts[twice].tolist(), ends[twice].tolist()):
+            drop[a:b] = True
         return _rows(ids, table.column("host").to_pylist(), texts, [drop[a:b] for a, b in zip(first[:-1], first[1:])])
 
     return run
 
 
 def _divide(depth: int):
-    """Pages of large hosts to the stretches of tokens whose windows fall to one shard."""
+    """Pages of large hosts to the stretches of tokens whose windows fall to one shard, and their
+    short blocks to shards below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
@@ -173,20 +223,25 @@ def _divide(depth: int):
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 out: list[tuple[str, int, int, int, bytes]] = []
-                texts = [visible(x).encode("utf-8", "replace") for x in part.column("html").to_pylist()]
+                texts = [blocks(x).encode("utf-8", "replace") for x in part.column("html").to_pylist()]
                 tokens, first = token_hashes(texts)
+                starts, ends = short_blocks(texts, tokens, depth)
+                cold = np.searchsorted(starts, first)
+                hashes = block_hashes(tokens, starts, ends)
                 gram = tokens.copy()
                 for g in range(1, _GRAM):
                     gram[: len(tokens) - g] = gram[: len(tokens) - g] * _BASE + tokens[g:] if len(tokens) > g else gram[:0]
                 gram = mix(gram)
                 for d, (page, host, shards) in enumerate(zip(*(part.column(c).to_pylist() for c in ("page_id", "host", "shards")))):
                     a, b = int(first[d]), int(first[d + 1])
+                    words = texts[d].replace(b"\n", b" ").split(b" ")
+                    for x, y, h in zip(*(v[cold[d] : cold[d + 1]].tolist() for v in (starts - a, ends - a, hashes))):
+                        out.append((host, -1 - h % shards, page, x, b" ".join(words[x:y])))
                     if b - a < depth:
                         continue
                     view = np.lib.stride_tricks.sliding_window_view(gram[a : b - _GRAM + 1], depth - _GRAM + 1)
                     shard = (view.min(1) % np.uint64(shards)).astype(np.int64)
                     cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
-                    words = texts[d].split(b" ")
                     out += [(host, int(shard[x]), page, x, b" ".join(words[x : y + depth - 1])) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 # stretches of one shard are compressed together, as they are short
                 keyed: dict[tuple[str, int], list] = {}
@@ -213,6 +268,9 @@ def _shard(depth: int):
         pages = np.array([p for x in table.column("pages").to_pylist() for p in x], np.int64)
         starts = np.array([p for x in table.column("starts").to_pylist() for p in x], np.int64)
         tokens, first = token_hashes(texts)
+        if table.column("shard")[0].as_py() < 0:
+            twice = on_two_pages(block_hashes(tokens, first[:-1], first[1:]), pages)
+            return pa.table({"page_id": pages[twice], "start": starts[twice].astype(np.int32), "stop": (starts + np.diff(first))[twice].astype(np.int32)})
         drop = covered(tokens, first, pages, depth)
         stream = np.repeat(np.arange(len(texts)), np.diff(first))
         begin = np.flatnonzero(drop & (np.r_[True, ~drop[:-1]] | np.r_[True, stream[1:] != stream[:-1]])) if len(drop) else np.zeros(0, np.int64)
@@ -229,7 +287,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(s, 256)
             texts, drops = _texts(part.column("text")), []
             for text, spans in zip(texts, part.column("spans").to_pylist()):
-                drop = np.zeros(text.count(b" ") + 1 if text else 0, bool)
+                drop = np.zeros(text.count(b" ") + text.count(b"\n") + 1 if text else 0, bool)
                 for span in spans or []:
                     drop[span["start"] : span["stop"]] = True
                 drops.append(drop)

@@ -58,6 +58,45 @@ def test_extraction_matches_brute_force(spark, big):
     assert any(r.n_removed for r in found)
 
 
+def brute_blocks(pages, depth):
+    """Windows of depth tokens, and whole blocks of any length; a page is a list of blocks."""
+    windows, whole = {}, {}
+    for page, host, blocks in pages:
+        t = " ".join(blocks).split()
+        for i in range(len(t) - depth + 1):
+            windows.setdefault((host, tuple(t[i : i + depth])), set()).add(page)
+        for b in blocks:
+            whole.setdefault((host, b), set()).add(page)
+    out = {}
+    for page, host, blocks in pages:
+        t = " ".join(blocks).split()
+        gone = [len(whole[host, b]) > 1 for b in blocks for _ in b.split()]
+        for i in range(len(t) - depth + 1):
+            if len(windows[host, tuple(t[i : i + depth])]) > 1:
+                gone[i : i + depth] = [True] * depth
+        out[page] = "\n".join(" ".join(w for w, _ in g) for dropped, g in itertools.groupby(zip(t, gone), lambda x: x[1]) if not dropped)
+    return out
+
+
+@pytest.mark.parametrize("big", [1 << 30, 2000])
+def test_extraction_removes_short_repeated_blocks_by_default(spark, big):
+    rng = random.Random(12)
+    menus = {h: ([prose(rng, rng.randint(1, 2)) for _ in range(5)], prose(rng, 8), prose(rng, 11)) for h in ("h0.org", "h1.org")}
+    pages, cut = [], []
+    for i in range(12):
+        host = f"h{i % 2}.org"
+        items, ad, foot = menus[host]
+        body, more = prose(rng, rng.randint(25, 60)), prose(rng, 6)
+        listed = "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in items)
+        html = f"<nav><ul>{listed}</ul></nav><div class='ad'>{ad}</div><p>{body} <b>{ad}</b> &amp; {more}<br>{more}<footer>{foot}</footer>"
+        pages.append((i, f"http://{host}/{i}", html))
+        cut.append((i, host, [*items, ad, f"{body} {ad} & {more}", more, foot]))
+    found = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), big_bytes=big).collect()}
+    assert found == brute_blocks(cut, extraction.MIN_TOKENS)
+    for i, _, b in cut:
+        assert found[i] == f"{b[6]} {b[7]}"  # only the article is left, an ad's words inside it included
+
+
 # --- 2 --------------------------------------------------------------------------------------------
 
 
