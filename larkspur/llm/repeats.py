@@ -8,13 +8,14 @@ dropped. A join with the degrees of the nodes marks where a path branches, and a
 document the edges between branchings compact to one path.
 
 Paths that touch form runs, and a repeat reaches at most WINDOW - 1 words beyond its run. These
-words are read again by source coordinates and verified as wholes: of each SLACK + 1 neighbouring
-spans of LENGTH - SLACK words the one with the least hash is compared with those of all other
-documents, and spans that two documents or more hold merge to the result.
+words are read again by source coordinates and verified: every span of LENGTH words in them is
+compared with those of all other documents, and spans that two documents or more hold merge to the
+result. Spans meet by the least hash of the SLACK + 1 runs of LENGTH - SLACK words inside them,
+which equal spans share and neighbouring ones mostly do, so that these travel in one row.
 
-So every passage of LENGTH words or more that two documents share is found, at most SLACK words
-short at either end, and each word reported lies in LENGTH - SLACK words that another document
-has as well; shorter repeats are never reported.
+So every passage of LENGTH words or more that two documents share is found from its first word to
+its last, and each word reported lies in LENGTH words that another document has as well; shorter
+repeats are never reported.
 
 Defined results: a null text and one of fewer than LENGTH words have no repeats; a passage that
 repeats inside one document only isn't one; exact copies repeat as wholes; rows with a null id are
@@ -47,6 +48,16 @@ def _least(place: np.ndarray, h: np.ndarray, w: int) -> np.ndarray:
     return np.unique(np.concatenate([x + view[x].argmin(1) for x in np.array_split(whole, 1 + len(whole) // 65536)]))
 
 
+def _keys(place: np.ndarray, at: np.ndarray, h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each w that stand at consecutive places, and the one of them with the least hash."""
+    if len(h) < w:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whole = np.flatnonzero(place[w - 1 :] - place[: len(h) - w + 1] == w - 1)
+    view = np.lib.stride_tricks.sliding_window_view(h, w)
+    least = np.concatenate([x + view[x].argmin(1) for x in np.array_split(whole, 1 + len(whole) // 65536)])
+    return at[whole], at[least]
+
+
 def _nodes(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the minimisers of all texts."""
     at, h = words.ngrams(k)
@@ -77,8 +88,8 @@ def _edges(length: int, k: int, w: int):
 
 
 def _windows(length: int, k: int, w: int, slack: int):
-    """(doc_id, text, paths) to the hashes of the spans that decide what repeats."""
-    span = length - slack
+    """(doc_id, text, paths) to the hashes of all spans, those that share a key in one row."""
+    run_words = length - slack
 
     def zones(paths: list[dict], total: int) -> list[np.ndarray]:
         """Places where a span may begin."""
@@ -86,7 +97,7 @@ def _windows(length: int, k: int, w: int, slack: int):
         fresh = np.r_[True, bounds[1:, 0] != bounds[:-1, 1]]
         low = np.maximum(bounds[fresh, 0] - w + 1, 0)
         high = np.minimum(bounds[np.r_[fresh[1:], True], 1] + k + w - 1, total)
-        return [np.arange(x, y - span + 1) for x, y in zip(low.tolist(), high.tolist()) if y - x >= length]
+        return [np.arange(x, y - run_words + 1) for x, y in zip(low.tolist(), high.tolist()) if y - x >= length]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +105,15 @@ def _windows(length: int, k: int, w: int, slack: int):
                 words = Words(part.column("text"))
                 own = [z + first for paths, first, end in zip(part.column("paths").to_pylist(), words.first, words.first[1:]) for z in zones(paths, int(end - first))]
                 at = np.unique(np.concatenate([words.first[:0], *own]))
-                h = words.spans(at, at + span - 1)
-                picked = _least(at + words.doc[at], h, slack + 1)
-                at, h, doc = at[picked], h[picked], words.doc[at[picked]]
+                at, picked = _keys(at + words.doc[at], at, words.spans(at, at + run_words - 1), slack + 1)
+                heads = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]]) if len(at) else np.zeros(0, np.int64)
+                first = at[heads]
+                doc = words.doc[first]
+                key = words.spans(picked[heads], picked[heads] + run_words - 1) >> np.uint64(32)
+                spans = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(at)].astype(np.int32)), pa.array(words.spans(at, at + length - 1).view(np.int64)))
                 yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), pa.array(part.column("doc_id").to_numpy()[doc]), pa.array((at - words.first[doc]).astype(np.int32))],
-                    names=["hash", "doc_id", "start"],
+                    [pa.array(key.astype(np.int64)), pa.array(part.column("doc_id").to_numpy()[doc]), pa.array((first - words.first[doc]).astype(np.int32)), spans],
+                    names=["key", "doc_id", "start", "spans"],
                 )
 
     return run
@@ -136,16 +150,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", "stop")).alias("paths"))
     )
-    windows = docs.join(paths.hint("merge"), "doc_id").mapInArrow(_windows(length, k, w, slack), "hash long, doc_id long, start int")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
-    kept = windows.join(least.hint("merge"), "hash").select("doc_id", "start", (F.col("doc_id") == F.col("least")).alias("is_first")).distinct()
-    order = Window.partitionBy("doc_id", "is_first").orderBy("start")
-    apart = F.coalesce(F.col("start") > F.lag("start").over(order) + (length - slack), F.lit(True))
+    windows = docs.join(paths.hint("merge"), "doc_id").mapInArrow(_windows(length, k, w, slack), "key long, doc_id long, start int, spans array<long>")
+    # One shuffle brings equal spans together, as they share the key; grouping them needs no other.
+    spans = windows.repartition("key").select("key", "doc_id", "start", F.posexplode("spans").alias("nth", "span"))
+    same = Window.partitionBy("key", "span")
+    kept = (
+        spans.select("key", "doc_id", "start", "nth", F.min("doc_id").over(same).alias("least"), F.max("doc_id").over(same).alias("most"))
+        .where("least < most")
+        .groupBy("key", "doc_id", "start", (F.col("doc_id") == F.col("least")).alias("is_first"))
+        .agg((F.col("start") + F.min("nth")).alias("low"), (F.col("start") + F.max("nth")).alias("high"))
+    )
+    order = Window.partitionBy("doc_id", "is_first").orderBy("low")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("low") > before + length, F.lit(True))
     return (
-        kept.withColumn("apart", apart.cast("int"))
-        .withColumn("span", F.sum("apart").over(order))
-        .groupBy("doc_id", "is_first", "span")
-        .agg(F.min("start").alias("first_word"), (F.max("start") - F.min("start") + length - slack).alias("n_words"))
+        kept.select("doc_id", "is_first", "low", "high", apart.cast("int").alias("apart"))
+        .withColumn("run", F.sum("apart").over(order))
+        .groupBy("doc_id", "is_first", "run")
+        .agg(F.min("low").alias("first_word"), (F.max("high") - F.min("low") + length).alias("n_words"))
         .select("doc_id", "first_word", "n_words", "is_first")
     )
 

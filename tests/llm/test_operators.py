@@ -130,6 +130,32 @@ def test_repeats_cover_all_shared_passages(spark):
         assert needed <= covered.get(d, set())
 
 
+def test_repeats_are_exact_maximal_spans(spark):
+    rng = random.Random(21)
+    shared = [prose(rng, n) for n in (45, 49, 50, 51, 57, 64, 120)]
+    texts = [prose(rng, rng.randint(0, 90)) for _ in range(30)]
+    for s in shared:
+        for i in rng.sample(range(30), 3):
+            texts[i] = f"{prose(rng, 7)} {s} {texts[i]}" if i % 2 else f"{texts[i]} {s}"
+    periodic = " ".join(["x y z"] * 30)
+    texts += [texts[0], texts[0] + " " + prose(rng, 3), periodic, f"{prose(rng, 5)} {periodic}", prose(rng, 49), prose(rng, 70)]
+    seen = {}
+    for d, t in enumerate(texts):
+        w = words(t)
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    wanted = set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for first in (True, False):
+            at = [i for i in range(len(w) - 49) if len(x := seen[tuple(w[i : i + 50])]) > 1 and (d == min(x)) == first]
+            cuts = [n for n, i in enumerate(at) if not n or i > at[n - 1] + 50] + [len(at)]
+            wanted |= {(d, at[a], at[b - 1] - at[a] + 50, first) for a, b in zip(cuts, cuts[1:])}
+    found = [tuple(r) for r in repeats.repeated_spans(docs_of(spark, texts)).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted
+    assert {n for _, _, n, _ in found} >= {50, 51, 57} and min(n for _, _, n, _ in found) == 50
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 
