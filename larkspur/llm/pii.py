@@ -7,9 +7,10 @@ largest sum, so that boundaries and types are chosen together. Weights are fitte
 likelihood, forward and backward over all divisions, on sequences that a seeded generator writes
 from public formats, with decoys such as versions, dates and amounts.
 
-Only spans with a digit or an @ can be entities. Text without either is "other" under any
-weights, so that the programme may skip from one stretch with such characters to the next without
-changing its result; whole texts are covered.
+Only spans with a digit or an @ can be entities, and a span passes a space only between groups of
+digits or of up to 4 capitals. Text that no such span reaches is "other" under any weights, so that
+the programme may skip from one stretch that spans can reach to the next without changing its
+result; whole texts are covered.
 
 Defined results: a null or empty text has no entities; rows with a null id are kept with that id;
 repeated rows give repeated results; an empty table gives an empty result; other columns are
@@ -46,10 +47,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}")
 _KEYED = re.compile(r"[A-Z]{4}[A-Z0-9]{12,20}|(?:sk|pk|gh[a-z]|xox[a-z])[_-][A-Za-z0-9_-]{12,}")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+_IBAN_WHOLE = re.compile(_IBAN.pattern + r"(?![^\W_])")
 _DATE = re.compile(r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}")
 _SECRET_WORD = re.compile(r"(?:token|key|secret|passw\w*|auth\w*|bearer|credential\w*)\W{0,5}$", re.I)
 _PHONE_WORD = re.compile(r"(?:tel\w*|phone|mobile|call|fax)\W{0,4}$", re.I)
-_OPEN, _CLOSE = set("+("), set(")")
+_OPEN, _CLOSE, _GAP = set("+("), set(")"), {" ", " "}
+_CHUNK = re.compile(r"\S+")
 
 
 def _luhn(digits: str) -> bool:
@@ -61,7 +64,7 @@ def _luhn(digits: str) -> bool:
 
 _NAMES = """other bias email at spaces digits0 digits3 digits6 digits8 digits12 digits19 digits20 all_digits quad quad_ok dotted phone
 phone_plus parens unbalanced card_groups card_plain luhn hex keyed mixed long entropy secret_word phone_word glued_left glued_right
-one few many lone_punct ssn iban date letters""".split()
+one few many lone_punct ssn iban iban_part date letters""".split()
 _AT = {name: i for i, name in enumerate(_NAMES)}
 
 
@@ -115,7 +118,8 @@ def features(text: str, start: int, stop: int, tokens: int) -> list[int]:
     if _SSN.fullmatch(s):
         on.append("ssn")
     if size >= 15 and _IBAN.fullmatch(s):
-        on.append("iban")
+        whole = _IBAN_WHOLE.match(text, start)
+        on.append("iban_part" if whole and whole.end() > stop else "iban")
     if _DATE.fullmatch(s):
         on.append("date")
     before = text[max(0, start - 24) : start]
@@ -136,11 +140,16 @@ def other(token: str) -> list[int]:
     return [_AT["other"]]
 
 
+def _group(token: str) -> bool:
+    """Whether an entity with spaces may hold the token."""
+    return token.isdigit() or (len(token) == 1 and token in "+()-./") or (len(token) <= 4 and (token.isupper() or (token.isalnum() and token.upper() == token)))
+
+
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Candidate spans: first token and the one behind the last."""
     out = []
     hot = [bool(_HOT.search(text, a, b)) for a, b in tokens]
-    digits = [text[a:b].isdigit() or (b - a == 1 and text[a] in "+()-./") for a, b in tokens]
+    groups = [_group(text[a:b]) for a, b in tokens]
     alnum = [text[a].isalnum() for a, b in tokens]
     for i, (start, _) in enumerate(tokens):
         if not alnum[i] and text[start] not in _OPEN:
@@ -151,10 +160,10 @@ def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
             if b - start > MAX_CHARS:
                 break
             if j > i and a != tokens[j - 1][1]:
-                if text[tokens[j - 1][1] : a] not in (" ", " "):
+                if text[tokens[j - 1][1] : a] not in _GAP:
                     break
                 gap = True
-            numeric = numeric and (digits[j] or (text[a:b].isupper() and b - a <= 4 or text[a:b].isalnum() and text[a:b].upper() == text[a:b] and b - a <= 4))
+            numeric = numeric and groups[j]
             if gap and not numeric:
                 break
             any_hot = any_hot or hot[j]
@@ -181,12 +190,12 @@ def _generate(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "IP": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "CARD": card,
         "SECRET": lambda: rng.choice([pick(hexa, 40), pick(hexa, 32), pick(hexa, 64), pick(hexa, 40).upper(), "AKIA" + pick(up + string.digits, 15) + num(1), "sk_live_" + pick(low + string.digits, 20) + num(2), "ghp_" + pick(low + up + string.digits, 34) + num(2)]),
-        "ID": lambda: rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{pick(up, 2)}{num(20)}", f"{pick(up, 2)}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}"]),
+        "ID": lambda: rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{pick(up, 2)}{num(20)}", f"{pick(up, 2)}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", f"{pick(up, 2)}{num(2)} {pick(up, 4)} {' '.join(num(4) for _ in range(rng.randint(2, 4)))} {num(2)}"]),
     }
     decoys = [
         lambda: f"{num(1)}.{num(1)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: num(rng.randint(1, 9)), lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"${num(3)}.{num(2)}",
         lambda: word() + num(2), lambda: f"{num(2)}:{num(2)}", lambda: f"@{word()}", lambda: f"{num(2)}%", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"1{num(1)}.0{num(1)}.19{num(2)}",
-        lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{rng.randint(300, 999)}.{rng.randint(300, 999)}.{num(3)}.{num(3)}", lambda: pick(hexa, 8), lambda: f"{num(1)}.", lambda: f"{num(3)}/{num(4)}",
+        lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{rng.randint(300, 999)}.{rng.randint(300, 999)}.{num(3)}.{num(3)}", lambda: pick(hexa, 8), lambda: f"{num(1)}.", lambda: f"{pick(up, rng.randint(2, 4))} {num(rng.randint(1, 4))}", lambda: f"{num(3)}/{num(4)}",
     ]
     text, found = "", []
     for _ in range(rng.randint(1, 3)):
@@ -270,20 +279,56 @@ def train(sequences: int = SEQUENCES, steps: int = STEPS, seed: int = 7, penalty
     return weights
 
 
+def _ahead(text: str, stop: int) -> int:
+    """How far a span that holds the end of the chunk before `stop` may reach."""
+    for _ in range(MAX_TOKENS):
+        if stop + 1 >= len(text) or text[stop] not in _GAP or not (chunk := _CHUNK.match(text, stop + 1)):
+            break
+        if not _group(_TOKEN.match(text, stop + 1).group()):
+            break
+        stop = chunk.end()
+        if not all(_group(m.group()) for m in _TOKEN.finditer(text, chunk.start(), stop)):
+            break
+    return stop
+
+
+def _behind(text: str, start: int) -> int:
+    """The same the other way, for the chunk that begins at `start`."""
+    for _ in range(MAX_TOKENS):
+        if start < 2 or text[start - 1] not in _GAP or text[start - 2].isspace():
+            break
+        stop = start - 1
+        begin = stop
+        while begin and not text[begin - 1].isspace():
+            begin -= 1
+        tokens = [m.group() for m in _TOKEN.finditer(text, begin, stop)]
+        if not _group(tokens[-1]):
+            break
+        start = begin
+        if not all(map(_group, tokens)):
+            break
+    return start
+
+
 def _stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of chunks, one space apart, that each hold a digit or an @."""
-    at = _HOT.search(text)
+    """Chunks that hold a digit or an @ and all that a span with one of these may reach."""
+    at, last = _HOT.search(text), None
     while at:
         start = at.start()
         while start and not text[start - 1].isspace():
             start -= 1
-        while True:
-            blank = _SPACE.search(text, at.end())
-            stop = blank.start() if blank else len(text)
-            at = _HOT.search(text, stop)
-            if not at or at.start() - stop > MAX_CHARS or _SPACE.search(text, stop + 1, at.start()):
-                break
-        yield start, stop
+        blank = _SPACE.search(text, at.end())
+        stop = blank.start() if blank else len(text)
+        start, reach = _behind(text, start), _ahead(text, stop)
+        if last and start <= last[1]:
+            last = (min(start, last[0]), max(reach, last[1]))
+        else:
+            if last:
+                yield last
+            last = (start, reach)
+        at = _HOT.search(text, stop)
+    if last:
+        yield last
 
 
 def decode(text: str, weights: list[list[float]]) -> list[tuple[int, int, str]]:

@@ -299,6 +299,20 @@ def test_pii_held_out_accuracy():
     assert right / wanted > 0.93 and right / made > 0.93
 
 
+def test_pii_stretches_do_not_change_the_division(monkeypatch):
+    weights, rng = pii.train().tolist(), random.Random(77)
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78"]
+    texts = [f"please pay to {x} until friday" for x in ibans]
+    for x, text in zip(ibans, texts):
+        assert pii.masked(text, pii.decode(text, weights)) == "please pay to [ID] until friday"
+    bits = [*ibans, "ABCD", "(AB)", "x-AB", "AB-x", "A B C D", "12", "a", "joe@x.org", "word", "+1", "WEST", "555 123 4567", "Z" * 5]
+    texts += ["".join(rng.choice(bits) + rng.choice([" ", " ", " ", "\u00a0", "  ", "\n"]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    texts += [pii._generate(rng)[0] for _ in range(200)]
+    found = [pii.decode(t, weights) for t in texts]
+    monkeypatch.setattr(pii, "_stretches", lambda text: [(0, len(text))])
+    assert found == [pii.decode(t, weights) for t in texts]
+
+
 # --- 9 --------------------------------------------------------------------------------------------
 
 
