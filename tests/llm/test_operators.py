@@ -264,6 +264,22 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert np.abs(p.T @ (w * mixing.rates(p, residuals, 1e-5)[0]) - target).max() < 0.01
 
 
+@pytest.mark.parametrize("sharp", [0.1, 1.0])
+def test_rates_converge_by_default(spark, sharp):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([7 * sharp, 2 * sharp, sharp], 3000)
+    n = rng.integers(1, 3000, 3000)
+    table = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(3000)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    target = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    found = {r.doc_id: r.rate for r in mixing.solve(table, list(target)).collect()}
+    got, w = np.array([found[i] for i in range(3000)]), n / n.sum()
+    residual = p.T @ (w * got) - target
+    assert np.abs(got - np.maximum(0, 1 - p @ residual / mixing.KEEP)).max() < 1e-5  # holds at the optimum only
+    assert (got == 0).any() and (got > 0).any()
+    with pytest.raises(RuntimeError):
+        mixing.solve(table, list(target), iterations=1)
+
+
 # --- 8 --------------------------------------------------------------------------------------------
 
 
