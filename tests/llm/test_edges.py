@@ -43,7 +43,7 @@ def test_repeated_spans(docs, empty):
 
 
 def test_near_copies(docs, empty):
-    assert [(r.doc_a, r.doc_b, r.jaccard) for r in near.ngram_jaccard_join(docs).collect()] == [(4, 5, 1.0)]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in near.ngram_jaccard_join(docs).collect()) == [(4, 4, 1), (5, 4, 1)]
     assert near.ngram_jaccard_join(empty).count() == 0
     kept = near.without_near_copies(docs)
     assert kept.columns == docs.columns
@@ -51,6 +51,14 @@ def test_near_copies(docs, empty):
     assert near.without_near_copies(empty).count() == 0
 
 
+def test_near_copies_keep_columns_of_any_name_and_texts_that_share_an_id(spark):
+    layout = "doc_id long, text string, key long, sid long, first string, _place int, _again int, _lost int, leader long"
+    rows = [(1, SAME, 1, 2, "f", 3, 4, 5, 6), (1, LONG, 1, 2, "f", 3, 4, 5, 6), (2, SAME, 1, 2, "f", 3, 4, 5, 6), (2, SAME, 1, 2, "f", 3, 4, 5, 6)]
+    kept = near.without_near_copies(spark.createDataFrame(rows, layout))
+    assert kept.columns == [c.split()[0] for c in layout.split(", ")]
+    assert sorted((r.doc_id, r.text == LONG) for r in kept.collect()) == [(1, False), (1, True)]
+
+
 def test_quality_rules(docs, empty, labels, none):
     for d, known, n in ((docs, labels, 10), (docs, none, 10), (empty, labels, 0)):
         found = rules.quality_rules(d, known).collect()

@@ -332,35 +332,93 @@ def test_pii_stretches_do_not_change_the_division(monkeypatch):
 # --- 9 --------------------------------------------------------------------------------------------
 
 
-def test_jaccard_join_matches_brute_force(spark):
-    rng = random.Random(9)
+def brute_classes(texts, threshold=0.6):
+    sets = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        if w:
+            sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
+    linked = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold} for i in sets}
+    out = {}
+    for i in sets:
+        reached, todo = {i}, [i]
+        while todo:
+            for j in linked[todo.pop()] - reached:
+                reached.add(j)
+                todo.append(j)
+        if linked[i]:
+            out[i] = (min(reached), len(linked[i]))
+    return out
+
+
+def near_texts(seed, groups=12, most=30):
+    rng = random.Random(seed)
     texts = []
-    for _ in range(12):
+    for _ in range(groups):
         base = prose(rng, rng.randint(3, 60)).split()
-        for _ in range(rng.randint(1, 30)):
+        for _ in range(rng.randint(1, most)):
             t = list(base)
             for _ in range(rng.randint(0, 3)):
                 t[rng.randrange(len(t))] = prose(rng, 1)
             texts.append(" ".join(t))
-    sets = []
-    for t in texts:
+    return [*texts, "", None, "one", "one"]
+
+
+#: Nodes of a few sets make buckets reach over many of them; hot = 2 settles n-grams within chunks.
+@pytest.mark.parametrize("options", [{}, {"node_bytes": 2000, "part_chars": 3000}, {"hot": 2, "part_chars": 5000}])
+def test_jaccard_join_matches_brute_force(spark, options):
+    texts = near_texts(9)
+    found = near.ngram_jaccard_join(docs_of(spark, texts), **options).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == brute_classes(texts) and len(found) == len({r.doc_id for r in found})
+
+
+def test_signature_tree_has_levels_and_loses_no_pair():
+    rng = np.random.default_rng(3)
+    bases = [rng.choice(5000, rng.integers(20, 60), replace=False) for _ in range(60)]
+    sets = [set(np.r_[b[: rng.integers(len(b) // 2, len(b))], rng.choice(5000, 3)].tolist()) for b in bases for _ in range(10)]
+    bucket = np.arange(len(sets)) // 10 // 7
+    order = np.lexsort(([len(s) for s in sets], bucket))
+    sets = [sets[i] for i in order]
+    grams = [np.array(sorted(s), np.uint64) for s in sets]
+    size = np.array([len(s) for s in sets])
+    maps = near._bitmaps(np.repeat(np.arange(len(sets)), size), np.concatenate(grams), len(sets), 1024).view(np.uint64)
+    tree = near.SignatureTree(bucket[order], size, size, maps)
+    assert len(tree.levels) == 3
+    leaves = set(zip(*(x.tolist() for x in tree.pairs(0.6))))
+    assert len(leaves) < len(tree.levels[0][0]) * (len(tree.levels[0][0]) + 1) // 4
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if bucket[order][i] == bucket[order][j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6:
+            assert (i // near.LEAF, j // near.LEAF) in leaves
+
+
+def test_the_query_builds_trees_of_several_levels(spark, monkeypatch):
+    """On as few as 300 documents: the rows of one node are one tree."""
+    depths = []
+    real = near.SignatureTree.pairs
+    monkeypatch.setattr(near.SignatureTree, "pairs", lambda self, t: depths.append(len(self.levels)) or real(self, t))
+    texts = near_texts(4, 6, 60)
+    sets = {}
+    for i, t in enumerate(texts):
         w = words(t)
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
-    least = {}
-    for i, s in enumerate(sets):
-        least.setdefault(frozenset(s), i)
-    wanted = {(least[frozenset(s)], i) for i, s in enumerate(sets) if least[frozenset(s)] != i}
-    reps = sorted(least.values())
-    wanted |= {(a, b) for a, b in itertools.combinations(reps, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
-    found = [(r.doc_a, r.doc_b) for r in near.ngram_jaccard_join(docs_of(spark, texts)).collect()]
-    assert len(found) == len(set(found)) and set(found) <= wanted
-    assert len(set(found)) >= 0.98 * len(wanted)
+        if len(w) > 4:
+            sets.setdefault(frozenset(" ".join(w[j : j + 5]) for j in range(len(w) - 4)), i)
+    grams = [np.unique(np.array([int.from_bytes(near.mix(np.array([hash(g) & (2**64 - 1)], np.uint64)).tobytes(), "little") for g in s], np.uint64)) for s in sets]
+    size = np.array([len(g) for g in grams])
+    maps = near._bitmaps(np.repeat(np.arange(len(grams)), size), np.concatenate(grams), len(grams), 1024)
+    order = np.argsort(size, kind="stable")
+    table = pa.table({"unit": np.zeros(len(grams), np.int64), "bucket": np.zeros(len(grams), np.int64), "sid": np.arange(len(grams)), "size": size[order].astype(np.int32), "m": np.ones(len(grams), np.int64), "side": np.zeros(len(grams), np.int32), "earlier": pa.array([[]] * len(grams), pa.list_(pa.int64())), "grams": pa.array([grams[i].tobytes() for i in order], pa.binary()), "bitmap": pa.array([maps[i].tobytes() for i in order], pa.binary())})
+    found = pa.Table.from_batches(near._links(0.6)(iter(table.to_batches())))
+    assert max(depths) > 1
+    sets = [list(sets)[i] for i in order]
+    wanted = {i: sum(len(a & b) / len(a | b) >= 0.6 for b in sets) - 1 for i, a in enumerate(sets)}
+    assert dict(zip(found.column("sid").to_pylist(), found.column("links").to_pylist())) == {i: n for i, n in wanted.items() if n}
 
 
 def test_components(spark):
-    pairs = [(i, i + 1) for i in range(1, 9)] + [(20, 21), (30, 20)]
-    found = {r.doc_id: r.leader for r in near.components(spark.createDataFrame(pairs, "doc_a long, doc_b long")).collect()}
+    pairs = [(i, i + 1) for i in range(1, 9)] + [(20, 21), (30, 20), (20, 21), (5, 5), (None, 3), (4, None)]
+    found = {r.node: r.leader for r in near.components(spark.createDataFrame(pairs, "doc_a long, doc_b long")).collect()}
     assert found == {**{i: 1 for i in range(1, 10)}, 20: 20, 21: 20, 30: 20}
+    assert near.components(spark.createDataFrame([], "doc_a long, doc_b long")).count() == 0
 
 
 # --- 10 -------------------------------------------------------------------------------------------
