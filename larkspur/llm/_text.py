@@ -75,10 +75,27 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
+def runs_at(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + lengths[0] - 1, starts[1] .., one behind another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Numbers below parts from 64-bit hashes, in their order."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 class Words:
     """Word boundaries of a column of texts.
 
-    first[d] : first[d + 1] are the words of text d; doc[i] is the text of word i.
+    first[d] : first[d + 1] are the words of text d; doc[i] is the text of word i and
+    flat[starts[i] : ends[i]] its bytes.
     """
 
     def __init__(self, column: pa.Array):
@@ -108,6 +125,7 @@ class Words:
         place = np.ones(total, bool)
         place[self.starts - 1] = False
         flat[place] = data[inside]
+        self.flat = flat
         power, self._inverse = _power_tables(total + 1)
         self._prefix = np.zeros(total + 1, np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[:total], out=self._prefix[1:])

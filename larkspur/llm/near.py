@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ._shared import materialise
-from ._text import WORD_RE2, Words, mix, slices
+from ._text import WORD_RE2, Words, mix, parts_of, runs_at, slices, spread
 
 NGRAM, THRESHOLD, BITS, LEAF, FAN, HOT = 5, 0.6, 1024, 16, 8, 16
 #: N-grams of a chunk, characters of text a partition of n-grams, bytes of n-grams a node.
@@ -51,12 +51,6 @@ CHUNK_GRAMS, PART_CHARS, NODE_BYTES = 1_500_000, 16 << 20, 16 << 20
 
 _BLOCKS = "kind byte, pid int, sids binary, sizes binary, place binary, grams binary, level binary, hot binary"
 _GRAMS, _SETTLED, _MEMBERS = 0, 1, 2
-_LOW = np.uint64(32)
-
-
-def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Numbers below parts from 64-bit hashes, in their order."""
-    return ((keys >> _LOW) * np.uint64(parts) >> _LOW).astype(np.int64)
 
 
 def _blocks(kind: int, pid: np.ndarray, place: np.ndarray, grams: np.ndarray, level: np.ndarray | None, sids: np.ndarray, sizes: np.ndarray, hot: dict[int, bytes] | None = None) -> pa.RecordBatch:
@@ -103,10 +97,6 @@ def _unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return found, np.concatenate(sizes)[first].astype(np.int64), number[np.concatenate(place)], np.concatenate(grams), np.concatenate(level)
 
 
-def _heads(sorted_: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
-
-
 def _divide(n: int, parts: int, hot: int):
     """Texts to blocks of n-grams by hash, blocks of settled n-grams by set, and members."""
 
@@ -126,17 +116,17 @@ def _divide(n: int, parts: int, hot: int):
         row, grams = row[own], grams[own]
         order = np.argsort(grams)
         row, grams = row[order], grams[order]
-        heads = _heads(grams)
+        heads = runs_at(grams)
         often = np.diff(np.r_[heads, len(grams)])
         is_hot = often >= hot
         cold = np.repeat(~is_hot, often)
         witness = grams[heads[is_hot]]
-        pid = _parts(witness, parts)
+        pid = parts_of(witness, parts)
         told = {int(p): witness[pid == p].tobytes() for p in np.unique(pid)}
-        out = [members, _blocks(_GRAMS, _parts(grams[cold], parts), row[cold], grams[cold], None, sid, size, told)]
+        out = [members, _blocks(_GRAMS, parts_of(grams[cold], parts), row[cold], grams[cold], None, sid, size, told)]
         if not cold.all():
             settled, h = row[~cold], grams[~cold]
-            out.append(_blocks(_SETTLED, _parts(sid[settled], parts), settled, h, np.full(len(h), hot), sid, size))
+            out.append(_blocks(_SETTLED, parts_of(sid[settled], parts), settled, h, np.full(len(h), hot), sid, size))
         return out, seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +166,7 @@ def _settle(parts: int, most: int):
         del rows
         order = np.argsort(grams)
         place, grams = place[order], grams[order]
-        heads = _heads(grams)
+        heads = runs_at(grams)
         often = np.diff(np.r_[heads, len(grams)])
         keep = np.repeat((often > 1) | np.isin(grams[heads], hot), often)
         place, grams = place[keep], grams[keep]
@@ -185,14 +175,14 @@ def _settle(parts: int, most: int):
         if len(grams):
             fresh = np.r_[True, (grams[1:] != grams[:-1]) | (place[1:] != place[:-1])]
             place, grams = place[fresh], grams[fresh]
-        heads = _heads(grams)
+        heads = runs_at(grams)
         often = np.diff(np.r_[heads, len(grams)])
         level = np.where(np.isin(grams[heads], hot), most, np.minimum(often, most))
         level = np.repeat(level, often)
         keep = level > 1
         if keep.any():
             place, grams, level = place[keep], grams[keep], level[keep]
-            yield _blocks(_SETTLED, _parts(sids[place], parts), place, grams, level, sids, sizes)
+            yield _blocks(_SETTLED, parts_of(sids[place], parts), place, grams, level, sids, sizes)
 
     return run
 
@@ -327,12 +317,6 @@ class SignatureTree:
         return a, b
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0] .. starts[0] + lengths[0] - 1, starts[1] .., one behind another."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def _in_both(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, width: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """How many values rows i and j have in common, pair by pair; values of a row are distinct and below width."""
     out = np.zeros(len(i), np.int64)
@@ -341,7 +325,7 @@ def _in_both(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, width:
     while a < len(i):
         b = max(a + 1, int(np.searchsorted(each, (each[a - 1] if a else 0) + (4 << 20), "right")))
         x, y, n = i[a:b], j[a:b], np.arange(b - a)
-        key = np.concatenate([np.repeat(n * width, lengths[r]) + values[_spread(starts[r], lengths[r])] for r in (x, y)])
+        key = np.concatenate([np.repeat(n * width, lengths[r]) + values[spread(starts[r], lengths[r])] for r in (x, y)])
         key.sort()
         out[a:b] = np.bincount(key[1:][key[1:] == key[:-1]] // width, minlength=b - a)
         a = b
@@ -353,7 +337,7 @@ def _overlaps(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, i: np
     rows = np.unique(np.r_[i, j])
     i, j = np.searchsorted(rows, i), np.searchsorted(rows, j)
     row = np.repeat(np.arange(len(rows)), lengths[rows])
-    _, column, often = np.unique(values[_spread(starts[rows], lengths[rows])], return_inverse=True, return_counts=True)
+    _, column, often = np.unique(values[spread(starts[rows], lengths[rows])], return_inverse=True, return_counts=True)
     shared = often[column] > 1
     row, column = row[shared], column[shared]
     _, column = np.unique(column, return_inverse=True)
@@ -419,7 +403,7 @@ def _links(threshold: float, most_pairs: int = 1 << 20):
                 i, j = i[keep], j[keep]
             order = np.argsort(bucket[i], kind="stable")
             i, j = i[order], j[order]
-            heads = _heads(bucket[i])
+            heads = runs_at(bucket[i])
             dense = np.zeros(len(i), bool)
             overlap = np.zeros(len(i), np.int64)
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(i)]):

@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op6_exact_top_k": topk.SQL,
+    "op2_substring_dedup": repeats.SQL,
     "op4_quality_rules": rules.SQL,
     "op9_ngram_jaccard_join": near.SQL,
 }
