@@ -17,20 +17,27 @@ from pyspark.sql import functions as F
 from ._text import Words, mix, raw, slices
 
 SAMPLE, BUCKETS, STEPS, BINS = 20_000, 1 << 16, 80, 16
-_CLASS = np.zeros(256, np.int64)  # 1: symbols, 2: capitals, 3: digits, 4: letters, 5: white
+_CLASS = np.zeros(256, np.uint8)  # 1: symbols, 2: capitals, 3: digits, 4: letters, 5: white
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
 _CLASS[65:91], _CLASS[48:58], _CLASS[97:123], _CLASS[128:] = 2, 3, 4, 4
 _CLASS[[9, 10, 13, 32]] = 5
 _CLASS[[33, 44, 46, 63]] = 0  # ordinary punctuation
 
 
+def _held(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of each text's bytes are marked."""
+    counted = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=counted[1:], dtype=np.int32)
+    return np.diff(counted[at])
+
+
 def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Row and feature, sorted and distinct: hashed words, and one bin for each statistic."""
     words = Words(column)
     data, at = raw(column)
     kinds = _CLASS[data]
     total = np.maximum(np.diff(at), 1)
-    share = [np.diff(np.r_[0, np.cumsum(kinds == c)][at]) / total for c in (1, 2, 3, 5)]
+    share = [_held(kinds == c, at) / total for c in (1, 2, 3, 5)]
     n = np.diff(words.first)
     i = np.arange(len(words.doc))
     h = words.spans(i, i)
@@ -44,8 +51,10 @@ def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     binned = [BUCKETS + k * BINS + s.astype(np.int64) for k, s in enumerate(stats)]
     width = BUCKETS + len(stats) * BINS
     keys = np.concatenate([words.doc * width + (h % np.uint64(BUCKETS)).astype(np.int64), *(rows * width + b for b in binned)])
-    keys = np.unique(keys)
-    return keys // width, keys % width
+    keys.sort()
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+    row = keys // width
+    return row, keys - row * width
 
 
 WIDTH = BUCKETS + 7 * BINS
@@ -86,22 +95,28 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, feature = text_features(part.column("text"))
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
             feature = feature.astype(np.int32)
-            yield pa.record_batch([part.column("label"), pa.array([feature[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])])], names=["label", "features"])
+            features = pa.array([feature[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
+            yield pa.record_batch([*(part.column(c) for c in _PLACE), part.column("label"), features], names=[*_PLACE, "label", "features"])
+
+
+#: The order of labelled rows, of which the first ones are the sample.
+_PLACE = ["place", "id_text", "text_hash"]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: Column, classes: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights fitted on at most `sample` labelled rows, those with the least hashes of the id.
-    label is a class number over the columns of labels; null leaves the row out."""
+    """Weights fitted on at most `sample` labelled rows, those with the least hashes of the id, then
+    by id, label and hash of the text. label is a class number over the columns of labels; null
+    leaves the row out."""
     chosen = (
-        labels.select(F.col(id_col).alias("_id"), label.cast("int").alias("label")).where("label IS NOT NULL")
-        .orderBy(F.xxhash64("_id"), "_id", "label").limit(sample)
+        labels.select(F.col(id_col).alias("id"), label.cast("int").alias("label")).where("label IS NOT NULL")
+        .orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     )
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text")
-    found = texts.mapInArrow(_collect, "label int, features binary").limit(4 * sample).toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    placed = texts.select(F.xxhash64("id").alias("place"), F.col("id").cast("string").alias("id_text"), F.xxhash64("text").alias("text_hash"), "label", "text")
+    order = [*_PLACE[:2], "label", _PLACE[2]]
+    found = placed.mapInArrow(_collect, "place long, id_text string, text_hash long, label int, features binary").orderBy(*order).limit(sample).select("label", "features").toArrow()
     rows = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
-    order = sorted(range(len(rows)), key=lambda i: rows[i].tobytes())  # sums don't depend on the order of arrival
-    known = found.column("label").to_numpy()
-    return fit([rows[i] for i in order], known[order], classes)
+    return fit(rows, found.column("label").to_numpy(), classes)
 
 
 def posteriors(column: pa.Array, weights: np.ndarray) -> np.ndarray:

@@ -19,12 +19,14 @@ slope is under CLOSE, which puts every rate within CLOSE / KEEP of its optimum;
 there, the query fails.
 
 Defined results: a null or empty text has no tokens, so that its rate matters to no total; it stays
-near 1; without labels posteriors are uniform; targets are scaled to sum 1; repeated rows get a rate
-each; an empty table gives an empty result; other columns are ignored.
+near 1; texts may be of any length; without labels posteriors are uniform; targets are scaled to sum
+1; equal texts have equal rates, so that there are no ties to settle; repeated rows get a rate each;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +39,24 @@ from ._shared import materialise
 from ._text import slices
 from .tokens import TOKENIZER, _Known, token_counts
 
-DOMAINS = ["good", "low", "toxic"]
-TARGETS = {"good": 0.97, "low": 0.0, "toxic": 0.03}
+#: Share of the corpus' tokens that each domain is to have; what is low or toxic is to go.
+TARGETS = {"good": 1.0, "low": 0.0, "toxic": 0.0}
 KEEP, ITERATIONS, CLOSE, HALVES = 2e-3, 40, 1e-9, 8
 
 
-def domain_label() -> Column:
-    """Number of the domain from the columns quality and toxic of labels."""
-    return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
+def labelled_domains() -> dict[str, Column]:
+    """The domains of the table labels, as conditions on its columns; the first that holds counts."""
+    return {"toxic": F.col("toxic") == 1, "low": F.col("quality") == 0, "good": F.col("quality") == 1}
+
+
+def domain_label(domains: dict[str, Column], names: list[str]) -> Column:
+    """Number in names of the first domain whose condition holds, else null."""
+    if sorted(domains) != sorted(names):
+        raise ValueError(f"targets are for {sorted(names)}, domains are {sorted(domains)}")
+    out = F.lit(None).cast("int")
+    for name, condition in reversed(domains.items()):
+        out = F.when(condition, names.index(name)).otherwise(out)
+    return out
 
 
 def _posteriors(weights: np.ndarray, tokenizer: str):
@@ -144,14 +156,18 @@ def mix(
     sample: int = classify.SAMPLE,
     tokenizer: str = TOKENIZER,
     label_docs: DataFrame | None = None,
+    domains: dict[str, Column] | None = None,
+    keep: float = KEEP,
 ) -> DataFrame:
-    """doc_id, n_tokens, rate of every document. label_docs: texts that labels speak of, docs
-    unless given."""
-    weights = classify.train(docs if label_docs is None else label_docs, labels, domain_label(), len(DOMAINS), id_col, text_col, sample)
-    schema = "doc_id long, n_tokens long, " + ", ".join(f"p{c} double" for c in range(len(DOMAINS)))
+    """doc_id, n_tokens, rate of every document. targets: share of the tokens of each domain;
+    domains: conditions on the columns of labels by the same names, labelled_domains() unless given;
+    label_docs: texts that labels speak of, docs unless given."""
+    names = list(targets)
+    weights = classify.train(docs if label_docs is None else label_docs, labels, domain_label(domains or labelled_domains(), names), len(names), id_col, text_col, sample)
+    schema = "doc_id long, n_tokens long, " + ", ".join(f"p{c} double" for c in range(len(names)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = materialise(rows.mapInArrow(_posteriors(weights, tokenizer), schema), "domain-posteriors")
-    return solve(table, [targets[d] for d in DOMAINS])
+    return solve(table, [targets[d] for d in names], keep)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -164,12 +180,11 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """Rows of docs, each as often as its rate asks for. Rows that share an id share the mean of
     their rates; a row with a null id stays once. All columns are kept."""
     found = mix(docs, labels, id_col=id_col, text_col=text_col, **options).where("doc_id IS NOT NULL")
-    often = found.groupBy(F.col("doc_id").alias("_mixed")).agg(copies(F.round(F.avg("rate"), 6), F.col("_mixed")).alias("_often"))
+    mixed, often, time = (f"c{uuid.uuid4().hex}" for _ in range(3))
     # Almost every document stays once, so only the ids of the others are joined.
-    other = often.where("_often <> 1")
-    joined = docs.join(other, F.col(id_col).cast("long") == F.col("_mixed"), "left")
-    repeats = F.explode(F.sequence(F.lit(1), F.coalesce("_often", F.lit(1)))).alias("_time")
-    return joined.where("_often IS NULL OR _often > 0").select(*(docs[c] for c in docs.columns), repeats).drop("_time")
+    other = found.groupBy(F.col("doc_id").alias(mixed)).agg(copies(F.round(F.avg("rate"), 6), F.col("doc_id")).alias(often)).where(F.col(often) != 1)
+    joined = docs.join(other, F.col(id_col).cast("long") == F.col(mixed), "left").where(F.col(often).isNull() | (F.col(often) > 0))
+    return joined.withColumn(time, F.explode(F.sequence(F.lit(1), F.coalesce(often, F.lit(1))))).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,45 +52,68 @@ def encoder(path: str):
 
 
 class _Known:
-    """Tokens of pieces seen before in this worker; bounded, as common pieces are few."""
-
-    most = 1 << 18
+    """Tokens of many pieces at once. Pieces that begin with their space are cut there by the
+    tokeniser as well, whatever they follow, so that they are encoded as one text; where a piece's
+    tokens end is read off the tokens' lengths in bytes."""
 
     def __init__(self, path: str):
-        self.encode, self.seen = encoder(path).encode_ordinary, {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        out = []
-        for text in texts:
-            ids = self.seen.get(text)
-            if ids is None:
-                ids = self.encode(text)
-                if len(text) < 32:
-                    self.seen[text] = ids
-            out.append(ids)
-        return out
+        found = encoder(path)
+        self.encode = found.encode_ordinary
+        self.bytes = np.zeros(found.max_token_value + 1, np.int64)
+        for i in range(len(self.bytes)):
+            try:
+                self.bytes[i] = len(found.decode_single_token_bytes(i))
+            except KeyError:
+                pass
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' tokens one behind another, and the n + 1 offsets of the pieces in these."""
+        texts = texts.cast(pa.large_string())
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        spaced = np.zeros(n, bool)
+        whole = np.flatnonzero(np.diff(offsets) > 1)
+        spaced[whole] = (data[offsets[whole]] == 32) & ~np.isin(data[offsets[whole] + 1], _SOFT)
+        apart = [self.encode(t) for t in texts.filter(pa.array(~spaced)).to_pylist()]
+        joined = texts.filter(pa.array(spaced))
+        ends = np.cumsum(np.diff(offsets)[spaced])
+        together = np.array(self.encode("".join(joined.to_pylist())), np.int64)
+        reached = np.searchsorted(np.cumsum(self.bytes[together]), ends, "left") + 1
+        sizes = np.empty(n, np.int64)
+        sizes[spaced] = np.diff(np.r_[0, reached]) if len(ends) else 0
+        sizes[~spaced] = [len(x) for x in apart]
+        at = np.r_[0, np.cumsum(sizes)]
+        flat = np.empty(int(at[-1]), np.int64)
+        mine = np.repeat(spaced, sizes)
+        flat[mine] = together
+        flat[~mine] = np.fromiter((t for x in apart for t in x), np.int64, int((~mine).sum()))
+        return flat, at
+
+
+#: White space of one byte; a piece that begins with two of these isn't one.
+_SOFT = np.array([*range(9, 14), *range(28, 33)], np.uint8)
 
 
 def token_counts(column: pa.Array, known: _Known) -> np.ndarray:
     """Tokens of each text of a column."""
     distinct, index, at = pieces(column)
-    sizes = np.array([len(x) for x in known(distinct.to_pylist())], np.int64)
-    return np.diff(np.r_[0, np.cumsum(sizes[index])][at]) if len(index) else np.zeros(len(at) - 1, np.int64)
+    if not len(index):
+        return np.zeros(len(at) - 1, np.int64)
+    sizes = np.diff(known(distinct)[1])
+    return np.diff(np.r_[0, np.cumsum(sizes[index])][at])
 
 
 def token_ids(column: pa.Array, known: _Known, separator: int) -> np.ndarray:
     """All texts' ids in one array, a separator after each text."""
     distinct, index, at = pieces(column)
-    ids = known(distinct.to_pylist())
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter((t for x in ids for t in x), np.uint16, int(sizes.sum()))
-    heads = np.r_[0, np.cumsum(sizes)]
-    each = sizes[index]
+    flat, heads = known(distinct) if len(index) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+    if separator > 0xFFFF or (len(known.bytes) > 0x10000) or (separator < len(known.bytes) and known.bytes[separator]):
+        raise ValueError("ids must fit two bytes and the separator must be an id of its own")
+    each = np.diff(heads)[index]
     ends = np.cumsum(each)
     total = int(ends[-1]) if len(ends) else 0
-    own = flat[np.arange(total) + np.repeat(heads[index] - (ends - each), each)]
+    own = flat[np.arange(total) + np.repeat(heads[index] - (ends - each), each)].astype(np.uint16)
     return np.insert(own, np.r_[0, ends][at[1:]], np.uint16(separator))
 
 
@@ -200,8 +223,8 @@ def separator_scan(files: DataFrame, separator: int = SEPARATOR, block_bytes: in
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, from flat files that are written first. Column file is the
-    number of the file, as its name is another in each run."""
+    """Tokens of every document, from flat files that are written first. Which file a document is in
+    differs from run to run, so that the result has its place in the file only."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = write_token_files(docs, scratch_path(spark, "token-files"))
-    return separator_scan(rows).join(rows, ["file", "ordinal"]).select("doc_id", "ordinal", "start", "n_tokens", "closed")
+    return separator_scan(rows).join(rows.hint("merge"), ["file", "ordinal"]).select("doc_id", "ordinal", "start", "n_tokens", "closed")
