@@ -1,20 +1,23 @@
 """Personal data and secrets found by a semi-Markov conditional random field.
 
-Candidate segments are spans of up to MAX_TOKENS tokens; a span is scored as a whole (its shape,
+Candidate segments are spans of up to MAX_TOKENS tokens of any length, and unbroken runs of the
+characters of keys, of any number of tokens; a span is scored as a whole (its shape,
 check sums, separators, what touches it and the words before it) for each type, every other token
 stands alone as "other", and a dynamic programme over the segments finds the division with the
 largest sum, so that boundaries and types are chosen together. Weights are fitted by maximum
 likelihood, forward and backward over all divisions, on sequences that a seeded generator writes
 from public formats, with decoys such as versions, dates and amounts.
 
-Only spans with a digit or an @ can be entities, and a span passes a space only between groups of
+Only spans with a digit, an @ or a run of LETTERS letters can be entities: names, addresses and short
+passwords in plain words aren't among the types. A span passes a space only between groups of
 digits or of up to 4 capitals. Text that no such span reaches is "other" under any weights, so that
 the programme may skip from one stretch that spans can reach to the next without changing its
-result; whole texts are covered.
+result; whole texts are covered, however long.
 
 Defined results: a null or empty text has no entities; rows with a null id are kept with that id;
-repeated rows give repeated results; an empty table gives an empty result; other columns are
-ignored. Offsets count characters.
+repeated rows give repeated results; of divisions with equal sums the one with fewer and earlier ended
+segments is taken; an empty table gives an empty result; other columns are ignored. Offsets count
+characters.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_TOKENS, MAX_CHARS, SEQUENCES, STEPS = 16, 160, 300, 60
+MAX_TOKENS, LETTERS, SEQUENCES, STEPS = 16, 24, 300, 60
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID"]
 
 _TOKEN = re.compile(r"[^\W_]+|_|[^\w\s]")
-_HOT = re.compile(r"[0-9@]")
+_HOT_TEXT = rf"[0-9@]|[A-Za-z]{{{LETTERS}}}"
+_HOT = re.compile(_HOT_TEXT)
+_RUN = re.compile(r"[A-Za-z0-9_+/~-][A-Za-z0-9_+/.~-]{14,}[A-Za-z0-9_+/~-]={0,2}")
 _SPACE = re.compile(r"\s")
 _EMAIL = re.compile(r"[^\W_][\w.+%-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 _QUAD = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
@@ -44,7 +49,7 @@ _DOTTED = re.compile(r"\d+(?:\.\d+)+")
 _PHONE = re.compile(r"\+?\d{0,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}")
 _GROUPS = re.compile(r"\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}")
 _HEX = re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}")
-_KEYED = re.compile(r"[A-Z]{4}[A-Z0-9]{12,20}|(?:sk|pk|gh[a-z]|xox[a-z])[_-][A-Za-z0-9_-]{12,}")
+_KEYED = re.compile(r"[A-Z]{4}[A-Z0-9]{12,20}|(?:sk|pk|gh[a-z]|xox[a-z])[_-][A-Za-z0-9_-]{12,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)?")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _IBAN_WHOLE = re.compile(_IBAN.pattern + r"(?![^\W_])")
@@ -64,10 +69,16 @@ def _luhn(digits: str) -> bool:
 
 _NAMES = """other bias email at spaces digits0 digits3 digits6 digits8 digits12 digits19 digits20 all_digits quad quad_ok dotted phone
 phone_plus parens unbalanced card_groups card_plain luhn hex keyed mixed long entropy secret_word phone_word glued_left glued_right
-one few many lone_punct ssn iban iban_part date letters""".split()
+one few many lone_punct ssn iban iban_part date letters key_run""".split()
 _AT = {name: i for i, name in enumerate(_NAMES)}
 
 
+def _key_like(s: str) -> bool:
+    """Nearly all letters and digits, with capitals, small letters and digits among them, unlike
+    paths and addresses of pages."""
+    return sum(map(str.isalnum, s)) >= 0.9 * len(s) and all(re.search(c, s) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+
+
 def features(text: str, start: int, stop: int, tokens: int) -> list[int]:
     """Indices of the features of the span."""
     s = text[start:stop]
@@ -101,7 +112,7 @@ def features(text: str, start: int, stop: int, tokens: int) -> list[int]:
             on.append("phone_plus")
     if "(" in s or ")" in s:
         on.append("parens" if s.count("(") == s.count(")") else "unbalanced")
-    if n and n < size and " " not in s and "@" not in s:
+    if n < size and (n or size >= LETTERS) and " " not in s and "@" not in s:
         letters = sum(map(str.isalpha, s))
         if letters:
             on.append("letters")
@@ -111,6 +122,8 @@ def features(text: str, start: int, stop: int, tokens: int) -> list[int]:
                 on.append("hex")
             if _KEYED.fullmatch(s):
                 on.append("keyed")
+            if size >= LETTERS and _RUN.fullmatch(s) and _key_like(s):
+                on.append("key_run")
             if size >= 16 and -sum(p * log2(p) for p in (s.count(c) / size for c in set(s))) > 3:
                 on.append("entropy")
     if size >= 24:
@@ -127,10 +140,10 @@ def features(text: str, start: int, stop: int, tokens: int) -> list[int]:
         on.append("secret_word")
     if _PHONE_WORD.search(before):
         on.append("phone_word")
-    if before and (before[-1].isalnum() or before[-1] in "@_+-" or (before[-1] == "." and len(before) > 1 and before[-2].isalnum())):
+    if before and (before[-1].isalnum() or before[-1] in "@_+-" or (before[-1] in "./" and len(before) > 1 and before[-2].isalnum())):
         on.append("glued_left")
     after = text[stop : stop + 2]
-    if after and (after[0].isalnum() or after[0] in "@_" or (after[0] in ".-" and len(after) > 1 and after[1].isalnum())):
+    if after and (after[0].isalnum() or after[0] in "@_" or (after[0] in ".-+/=" and len(after) > 1 and after[1].isalnum())):
         on.append("glued_right")
     return [_AT[x] for x in on]
 
@@ -145,19 +158,34 @@ def _group(token: str) -> bool:
     return token.isdigit() or (len(token) == 1 and token in "+()-./") or (len(token) <= 4 and (token.isupper() or (token.isalnum() and token.upper() == token)))
 
 
+def _key_runs(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of key characters that look like keys and have more tokens than a span may have."""
+    if len(tokens) <= MAX_TOKENS:
+        return []
+    out, starts, ends = [], {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
+    for m in _RUN.finditer(text, tokens[0][0], tokens[-1][1]):
+        i, j = starts.get(m.start()), ends.get(m.end())
+        if i is not None and j is not None and j - i > MAX_TOKENS and _key_like(m.group()):
+            out.append((i, j))
+    return out
+
+
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Candidate spans: first token and the one behind the last."""
-    out = []
+    out = _key_runs(text, tokens)
+    inside = [False] * len(tokens)  # a long run is one candidate, its parts are none
+    for i, j in out:
+        inside[i:j] = [True] * (j - i)
     hot = [bool(_HOT.search(text, a, b)) for a, b in tokens]
     groups = [_group(text[a:b]) for a, b in tokens]
     alnum = [text[a].isalnum() for a, b in tokens]
     for i, (start, _) in enumerate(tokens):
-        if not alnum[i] and text[start] not in _OPEN:
+        if inside[i] or (not alnum[i] and text[start] not in _OPEN):
             continue
         any_hot, gap, numeric = False, False, True
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             a, b = tokens[j]
-            if b - start > MAX_CHARS:
+            if inside[j]:
                 break
             if j > i and a != tokens[j - 1][1]:
                 if text[tokens[j - 1][1] : a] not in _GAP:
@@ -189,13 +217,15 @@ def _generate(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
         "PHONE": lambda: rng.choice([f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(2)} {num(2)} {num(4)} {num(4)}"]),
         "IP": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "CARD": card,
-        "SECRET": lambda: rng.choice([pick(hexa, 40), pick(hexa, 32), pick(hexa, 64), pick(hexa, 40).upper(), "AKIA" + pick(up + string.digits, 15) + num(1), "sk_live_" + pick(low + string.digits, 20) + num(2), "ghp_" + pick(low + up + string.digits, 34) + num(2)]),
+        "SECRET": lambda: rng.choice([pick(hexa, 40), pick(hexa, 32), pick(hexa, 64), pick(hexa, 40).upper(), "AKIA" + pick(up + string.digits, 15) + num(1), "sk_live_" + pick(low + string.digits, 20) + num(2), "ghp_" + pick(low + up + string.digits, 34) + num(2), pick(hexa, 96) + num(32), pick(low + up, rng.randint(28, 48)), f"eyJ{pick(low + up + string.digits, 24)}.eyJ{pick(low + up + string.digits, 40)}.{pick(low + up + string.digits, 30)}", pick(low + up + string.digits, 43) + "1",
+            f"{pick(low + up + string.digits, 20)}{rng.choice('+/-_')}{pick(low + up + string.digits, 15)}{rng.choice('+/-_')}{pick(low + up + string.digits, 25)}{num(1)}", "".join(pick(low + up + string.digits, rng.randint(6, 14)) + rng.choice("+/-_") for _ in range(rng.randint(3, 6))) + pick(low, 4) + pick(up, 4) + num(2)]),
         "ID": lambda: rng.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{pick(up, 2)}{num(20)}", f"{pick(up, 2)}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", f"{pick(up, 2)}{num(2)} {pick(up, 4)} {' '.join(num(4) for _ in range(rng.randint(2, 4)))} {num(2)}"]),
     }
     decoys = [
         lambda: f"{num(1)}.{num(1)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: num(rng.randint(1, 9)), lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"${num(3)}.{num(2)}",
         lambda: word() + num(2), lambda: f"{num(2)}:{num(2)}", lambda: f"@{word()}", lambda: f"{num(2)}%", lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"1{num(1)}.0{num(1)}.19{num(2)}",
         lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{rng.randint(300, 999)}.{rng.randint(300, 999)}.{num(3)}.{num(3)}", lambda: pick(hexa, 8), lambda: f"{num(1)}.", lambda: f"{pick(up, rng.randint(2, 4))} {num(rng.randint(1, 4))}", lambda: f"{num(3)}/{num(4)}",
+        lambda: f"https://{word()}.org/{word()}/{num(4)}/{word()}-{word()}-{word()}.html", lambda: "-".join(word() for _ in range(rng.randint(2, 5))) + num(1),
     ]
     text, found = "", []
     for _ in range(rng.randint(1, 3)):
@@ -238,6 +268,8 @@ def train(sequences: int = SEQUENCES, steps: int = STEPS, seed: int = 7, penalty
             place.append((b, t, t + 1, True))
             gold_rows.append(0 if t not in covered else -1)
         for i, j in segments(text, tokens):
+            if j - i > MAX_TOKENS:  # the lattice of the fit is bounded; the programme isn't
+                continue
             rows.append(features(text, tokens[i][0], tokens[j - 1][1], j - i))
             place.append((b, i, j, False))
             gold_rows.append(entities.get((i, j), -1))
@@ -341,6 +373,7 @@ def decode(text: str, weights: list[list[float]]) -> list[tuple[int, int, str]]:
         for i, j in segments(text, tokens):
             on = features(text, tokens[i][0], tokens[j - 1][1], j - i)
             score, kind = max((sum(w[f] for f in on), k) for k, w in enumerate(weights[1:]))
+            score += alone * max(0, j - i - MAX_TOKENS)  # a longer run counts as one of MAX_TOKENS
             by_end.setdefault(j, []).append((i, score, kind))
         best, back = [0.0], [None]
         for t in range(1, len(tokens) + 1):
@@ -388,7 +421,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
             ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             yield pa.record_batch([ids, pa.array(entities, kind), pa.array(texts, pa.string())], names=["doc_id", "entities", "text"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(_HOT_TEXT))
     return texts.mapInArrow(run, "doc_id long, entities array<struct<start:int,stop:int,kind:string>>, text string")
 
 
