@@ -23,6 +23,12 @@ CRITICAL = [
 ]
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once a row: inside lambdas, and where f uses it several
+    times, it would be computed again and again."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, as Python's strip."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
@@ -90,14 +96,20 @@ def lines(text: Column) -> Column:
 
 def bm25_tokens(text: Column, ngrams: int = 2) -> Column:
     """Latin runs and CJK characters, then n-grams over the CJK characters in order, gaps ignored."""
-    base = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({BM25_TOKEN})"), 1)
-    single = F.filter(base, lambda t: t.rlike(f"^[{CJK}]$"))
-    n = F.size(single)
-    parts = [base, F.when(n > 1, F.zip_with(F.slice(single, 1, F.greatest(n - 1, F.lit(0))), F.slice(single, 2, n), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))]
-    if ngrams > 2:
-        triples = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(single, i, 3), ""))
-        parts.append(F.when(n > 2, triples).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+    lower, none = F.lower(F.coalesce(text, F.lit(""))), F.array().cast("array<string>")
+
+    def grams(single: Column) -> Column:
+        n = F.size(single)
+        parts = [F.when(n > 1, F.zip_with(F.slice(single, 1, F.greatest(n - 1, F.lit(0))), F.slice(single, 2, n), lambda a, b: F.concat(a, b))).otherwise(none)]
+        if ngrams > 2:
+            triples = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(single, i, 3), ""))
+            parts.append(F.when(n > 2, triples).otherwise(none))
+        return F.concat(*parts)
+
+    base = F.regexp_extract_all(lower, F.lit(f"({BM25_TOKEN})"), 1)
+    # only a text with two such characters has n-grams, and is read for them
+    single = F.regexp_extract_all(lower, F.lit(f"([{CJK}])"), 1)
+    return F.when(lower.rlike(f"(?s)[{CJK}].*[{CJK}]"), F.concat(base, bound(single, grams))).otherwise(base)
 
 
 def hash_tokens(text: Column) -> Column:
@@ -151,7 +163,7 @@ def parse_bool(text: Column) -> Column:
 def standard_id(stem: Column) -> Column:
     """The identifier of a standard in a file's stem, else the stem's first word."""
     stem = F.regexp_replace(stem, r"(?i)^\[OCR\]_", "")
-    patterns = [r"ECSS-[A-Z]-[A-Z]+-\d+(?:-\d+)?[A-Z]?", r"GJB(?:[- ]?Z)?\s*[\w.]+(?:-\d{4})?", r"QJ\s*[\w.]+(?:-\d{4})?", r"GB/?T\s*[\w.]+(?:-\d{4})?", r"NASA[- ][A-Z0-9-]+"]
+    patterns = [r"ECSS-[A-Z]-[A-Z]+-\d+(?:-\d+)?[A-Z]?", r"ECSS-[A-Z]-[A-Z]+-\d+(?:-\d+)?[A-Z]?(?:[-_ ]?Rev\.?\s*\d+)?", r"GJB(?:[- ]?Z)?\s*[\w.]+(?:-\d{4})?", r"QJ\s*[\w.]+(?:-\d{4})?", r"GB/?T\s*[\w.]+(?:-\d{4})?", r"GBT\s*[\w.]+(?:-\d{4})?", r"NASA[- ][A-Z0-9-]+"]
     found = [F.nullif(F.regexp_extract(stem, f"(?i)({p})", 1), F.lit("")) for p in patterns]
     return F.coalesce(*(F.replace(normalize_text(f), F.lit("_"), F.lit(" ")) for f in found), F.split(stem, " ")[0])
 

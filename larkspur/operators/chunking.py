@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, strip
+from ..functions.text import bound, normalize_text, strip
 
 CHUNK_CHARS, OVERLAP, LEAST_TOP_UP = 900, 120, 120
 _NONE = "array<string>"
@@ -15,10 +15,13 @@ def windows(text: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP) -> Co
     """Stripped windows that begin each size - overlap characters; none empty."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive, overlap at least 0 and smaller than size")
-    text, step = strip(F.coalesce(text, F.lit(""))), size - overlap
-    last = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / step).cast("int")
-    found = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, size)))
-    return F.filter(found, lambda x: x != "")
+    step = size - overlap
+
+    def cut(text: Column) -> Column:
+        last = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / step).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, size)))
+
+    return F.filter(bound(strip(F.coalesce(text, F.lit(""))), cut), lambda x: x != "")
 
 
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:

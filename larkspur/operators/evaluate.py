@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ..functions.text import content_tokens, critical_terms, is_abstention, normalize_lower, sentences
 
-DEPTHS, SUPPORT = (1, 3, 5, 10), 0.5
+DEPTHS, SUPPORT = (1, 3, 5, 10), 0.55
 
 
 def _let(a: Column, b: Column, f) -> Column:
@@ -48,7 +48,8 @@ def sentence_support(answer: Column, evidence: Column, threshold: float = SUPPOR
 
 
 def answer_metrics(rows: DataFrame, answer: str, evidence: str, threshold: float = SUPPORT) -> DataFrame:
-    """rows with abstained, n_sentences, unsupported, hallucination_rate and grounded_rate."""
+    """rows with abstained, n_sentences, unsupported, hallucination_rate and grounded_rate. An answer
+    that abstains has no unsupported sentences, one without sentences is grounded."""
     support = rows.withColumn("_s", sentence_support(F.col(answer), F.col(evidence), threshold))
     missing = F.when(is_abstention(F.col(answer)), 0).otherwise(F.size(F.filter("_s", lambda x: ~x["supported"])))
     counted = support.withColumns({"abstained": is_abstention(F.col(answer)), "n_sentences": F.size("_s"), "unsupported": missing}).drop("_s")
@@ -61,8 +62,9 @@ def retrieval_metrics(items: DataFrame, results: DataFrame, depths: tuple[int, .
     results: query_id, chunk_id, rank. Recall is null without gold; the reciprocal rank is 0
     without a hit."""
     found = results.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("_found"))
-    joined = items.join(found, "query_id", "left").withColumn("_found", F.coalesce("_found", F.slice("gold", 1, 0), F.array().cast("array<bigint>")))
-    gold = F.array_distinct(F.coalesce("gold", F.array().cast(items.schema["gold"].dataType)))
+    kind = items.schema["gold"].dataType
+    joined = items.join(found, "query_id", "left").withColumn("_found", F.coalesce(F.col("_found").cast(kind), F.array().cast(kind)))
+    gold = F.array_distinct(F.coalesce("gold", F.array().cast(kind)))
     first = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit(0).alias("hit")), lambda a, x: F.struct((a["at"] + 1).alias("at"), F.when((a["hit"] == 0) & F.array_contains(gold, x), a["at"] + 1).otherwise(a["hit"]).alias("hit")))["hit"]
     columns: dict[str, Column] = {"first_gold_rank": F.nullif(first, F.lit(0)), "mrr": F.when(first > 0, 1 / first).otherwise(0.0)}
     for k in depths:
@@ -74,9 +76,70 @@ def retrieval_metrics(items: DataFrame, results: DataFrame, depths: tuple[int, .
     return joined.withColumns(columns).drop("_found")
 
 
+def token_coverage(items: DataFrame, results: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """query_id, coverage_k: share of the content tokens of expected_answer that the first k results
+    hold together, counted as multisets. One pass over the results' tokens, joined with those that an
+    answer asks for; 0 where the answer has none or nothing was found."""
+    asked = items.select("query_id", F.explode(content_tokens(F.col("expected_answer"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("wanted"))
+    held = results.select("query_id", "rank", F.explode(content_tokens(F.col("content"))).alias("token")).groupBy("query_id", "token", "rank").agg(F.count("*").alias("n"))
+    each = asked.join(held, ["query_id", "token"], "left").groupBy("query_id", "token", "wanted").agg(
+        *(F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in depths)
+    )
+    found = each.groupBy("query_id").agg(*((F.sum(F.least("wanted", f"n_{k}")) / F.sum("wanted")).alias(f"coverage_{k}") for k in depths))
+    return items.select("query_id").join(found, "query_id", "left").fillna(0.0)
+
+
+def score_items(items: DataFrame, results: DataFrame, answers: DataFrame | None = None, depths: tuple[int, ...] = DEPTHS, threshold: float = SUPPORT) -> DataFrame:
+    """A row for each item: retrieval of its gold chunks and documents, coverage of its answer, and
+    what its given answer is worth.
+
+    items: query_id, gold (chunk ids), gold_docs (names), expected_answer, negative and others;
+    results: query_id, chunk_id, rank, doc (name), content; answers: query_id, answer. Recalls are
+    null without gold, all_hit is false then; coverage and comparisons with the expected answer are
+    null for negative items; answer columns are null for items without an answer.
+    """
+    chunk = retrieval_metrics(items, results, depths)
+    chunk = chunk.withColumnsRenamed({f"{old}_{k}": f"{new}_{k}" for k in depths for old, new in (("recall", "slice_recall"), ("all_hit", "slice_all_hit"), ("precision", "slice_precision"))})
+    named = items.select("query_id", F.col("gold_docs").alias("gold"))
+    by_doc = retrieval_metrics(named, results.select("query_id", "rank", F.col("doc").alias("chunk_id")), depths).select(
+        "query_id", *(F.col(f"{old}_{k}").alias(f"{new}_{k}") for k in depths for old, new in (("recall", "doc_recall"), ("all_hit", "doc_all_hit"), ("precision", "source_precision")))
+    )
+    scored = chunk.join(by_doc, "query_id").join(token_coverage(items, results, depths), "query_id")
+    scored = scored.withColumns({f"coverage_{k}": F.when(~F.col("negative"), F.col(f"coverage_{k}")) for k in depths})
+    if answers is None:
+        return scored
+    evidence = results.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), "\n").alias("evidence"))
+    given = items.select("query_id", "expected_answer", "negative").join(answers.select("query_id", "answer"), "query_id").join(evidence, "query_id", "left")
+    said = answer_metrics(given.withColumn("evidence", F.coalesce("evidence", F.lit(""))), "answer", "evidence", threshold)
+    right = F.when(~F.col("negative"), token_f1(F.col("answer"), F.col("expected_answer"))), F.when(~F.col("negative"), coverage(F.col("expected_answer"), F.col("answer")))
+    said = said.select(
+        "query_id", "answer", right[0].alias("answer_token_f1"), right[1].alias("answer_expected_recall"), "abstained",
+        F.when(F.col("negative"), F.col("abstained")).alias("negative_abstention_correct"), "n_sentences", "unsupported", "hallucination_rate", "grounded_rate",
+    )
+    return scored.join(said, "query_id", "left")
+
+
+ANSWER_MEANS = ["answer_token_f1", "answer_expected_recall", "hallucination_rate", "grounded_rate", "negative_abstention_correct"]
+
+
+def summarise(scored: DataFrame, by: str, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """One row over all items (null in the column `by`) and one for each value of it. Retrieval means
+    are over positive items only, nulls left out; the median of first ranks leaves out items without a
+    hit; answer means are over the items that have an answer."""
+    positive = ~F.col("negative")
+    names = [f"{m}_{k}" for k in depths for m in ("slice_recall", "slice_all_hit", "doc_recall", "doc_all_hit", "source_precision", "coverage")]
+    mean = lambda m: F.avg(F.when(positive, F.col(m).cast("double"))).alias(m)
+    parts = [F.count("*").alias("items"), F.count_if(positive).alias("positive_items"), F.count_if(~positive).alias("negative_items"), mean("mrr")]
+    parts += [F.median(F.when(positive & (F.col("first_gold_rank") > 0), F.col("first_gold_rank"))).alias("first_gold_rank_median"), *map(mean, names)]
+    if "answer" in scored.columns:
+        parts += [F.count("answer").alias("answered_items"), *(F.avg(F.col(m).cast("double")).alias(m) for m in ANSWER_MEANS)]
+    return scored.groupingSets([[], [F.col(by)]], F.col(by)).agg(*parts)
+
+
 def summary(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
-    """Means over all rows (null in the column `by`) and for each value of it."""
-    parts = [F.count("*").alias("items"), *(F.avg(F.col(m).cast("double")).alias(m) for m in metrics)]
+    """Means over all rows that aren't negative (null in the column `by`) and for each value of it."""
+    positive = ~F.col("negative")
+    parts = [F.count("*").alias("items"), F.count_if(positive).alias("positive_items"), *(F.avg(F.when(positive, F.col(m).cast("double"))).alias(m) for m in metrics)]
     return rows.groupingSets([[], [F.col(by)]], F.col(by)).agg(*parts)
 
 
