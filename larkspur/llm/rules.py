@@ -2,20 +2,27 @@
 
 A rule is a score of the text, larger meaning worse, and a fixed grid of cutoffs. For every
 stratum, rule and cutoff the labelled documents of good quality that the cutoff would reject are
-counted: k of n. The cutoff is certified when the exact binomial test of "the false rejection rate
-is alpha / rules or more" rejects, P(Bin(n, alpha / rules) <= k) <= delta / tests, where tests
-counts all strata, rules and cutoffs (Bonferroni). The grid doesn't depend on the data, so that
-all labelled documents are holdout. By the union bound, with probability 1 - delta no stratum
-loses more than alpha of its good documents to all its rules together.
-
-Among certified cutoffs of a rule the one with the largest (share of bad rejected - COST x share of
+counted: k of n. Down each rule's grid, from the most lenient cutoff on, a cutoff is certified while
+the exact binomial test of "the false rejection rate is alpha / rules or more" rejects,
+P(Bin(n, alpha / rules) <= k) <= delta / (strata x rules). Such a sequence in a fixed order needs no
+further correction for its cutoffs, and Bonferroni is for strata and rules. The grid doesn't depend on
+the data, so that all labelled documents are holdout. By the union bound, with probability 1 - delta
+no stratum loses more than alpha of its good documents to all its rules together.
+
+Among certified cutoffs of a rule the one with the largest (share of bad rejected - cost x share of
 good rejected) is taken, the most lenient of equals; a rule with no certified cutoff or no gain is
-off in that stratum.
+off in that stratum. The cost is a parameter beside alpha: at 0 the cutoff that rejects most bad
+documents is taken, at the default a cutoff has to leave nearly all good ones alone even where the
+risk would allow more.
+
+A stratum needs about 750 good labels without a loss before any cutoff can be certified (four strata,
+six rules); one with fewer stays unfiltered.
 
 Defined results: a null text counts as empty; a null stratum is a stratum of its own, as is one
 without labels, where every rule is off and all is kept; null labels are left out; when a document
 has several labels it counts once for each; repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; texts may be of any length; a score equal to the cutoff passes; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -72,16 +79,21 @@ def binomial_tail(n: int, k: int, p: float) -> float:
     return min(1.0, sum(at(i) for i in range(k + 1)))
 
 
-def choose(counts: dict[tuple[str, str, float], tuple[int, int, int, int]], alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
+def choose(counts: dict[tuple[str, str, float], tuple[int, int, int, int]], alpha: float = ALPHA, delta: float = DELTA, cost: float = COST) -> dict[tuple[str, str], float]:
     """(stratum, rule, cutoff) -> (good, good rejected, bad, bad rejected) to the cutoffs of (stratum, rule)."""
-    rules = len({rule for _, rule, _ in counts})
+    rules, strata = len({rule for _, rule, _ in counts}), len({stratum for stratum, _, _ in counts})
     best: dict[tuple[str, str], tuple[float, float]] = {}
+    ended: set[tuple[str, str]] = set()
     for (stratum, rule, cutoff), (good, lost, bad, caught) in sorted(counts.items(), key=lambda x: -x[0][2]):
-        if not good or not bad or binomial_tail(good, lost, alpha / rules) > delta / len(counts):
+        if (stratum, rule) in ended:
             continue
-        gain = round(caught / bad - COST * lost / good, 12)
-        if gain > best.get((stratum, rule), (0.0, 0.0))[0]:
-            best[stratum, rule] = gain, cutoff
+        # at the mean or above it the tail is far above delta
+        if lost >= good * alpha / rules or binomial_tail(good, lost, alpha / rules) > delta / (strata * rules):
+            ended.add((stratum, rule))
+        elif bad:
+            gain = round(caught / bad - cost * lost / good, 12)
+            if gain > best.get((stratum, rule), (0.0, 0.0))[0]:
+                best[stratum, rule] = gain, cutoff
     return {k: cutoff for k, (_, cutoff) in best.items()}
 
 
@@ -90,7 +102,7 @@ def _stratum(column: str) -> Column:
 
 
 def certified_cutoffs(
-    scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA
+    scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA, cost: float = COST
 ) -> dict[tuple[str, str], float]:
     """Cutoffs of (stratum, rule) from the columns doc_id, stratum and the rules' scores.
 
@@ -114,7 +126,7 @@ def certified_cutoffs(
         for row in counted.toLocalIterator()
         for i, (rule, c) in enumerate(cells)
     }
-    return choose(counts, alpha, delta)
+    return choose(counts, alpha, delta, cost)
 
 
 def failures(cutoffs: dict[tuple[str, str], float], stratum: Column, of: dict[str, Column]) -> list[Column]:
@@ -143,13 +155,14 @@ def quality_rules(
     stratum_col: str = "lang",
     alpha: float = ALPHA,
     delta: float = DELTA,
+    cost: float = COST,
 ) -> DataFrame:
     """doc_id, stratum, keep and the failed rules, joined with commas, of every document.
 
     Scores are computed once and written.
     """
     scored = materialise(_scored(docs, id_col, text_col, stratum_col), "rule-scores")
-    cutoffs = certified_cutoffs(scored, labels, id_col, alpha, delta)
+    cutoffs = certified_cutoffs(scored, labels, id_col, alpha, delta, cost)
     failed = failures(cutoffs, F.col("stratum"), {rule: F.col(rule) for rule in GRIDS})
     failed = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     return scored.select("doc_id", "stratum", (F.size(failed) == 0).alias("keep"), F.array_join(failed, ",").alias("failed"))
@@ -164,10 +177,14 @@ def passing(
     stratum_col: str = "lang",
     alpha: float = ALPHA,
     delta: float = DELTA,
+    cost: float = COST,
 ) -> DataFrame:
     """The rows of docs that fail no rule, with all their columns and without a shuffle of texts.
     label_docs: texts that labels speak of, docs unless given."""
-    cutoffs = certified_cutoffs(_scored(docs if label_docs is None else label_docs, id_col, text_col, stratum_col), labels, id_col, alpha, delta)
+    known = labels.where("quality IS NOT NULL").select(F.col(id_col)).distinct()
+    # only labelled documents are scored here, the others once below
+    of = (docs if label_docs is None else label_docs).select(id_col, text_col, stratum_col).join(known, id_col, "left_semi")
+    cutoffs = certified_cutoffs(_scored(of, id_col, text_col, stratum_col), labels, id_col, alpha, delta, cost)
     out = docs
     for failed in failures(cutoffs, _stratum(stratum_col), scores(F.col(text_col))):
         out = out.where(failed.isNull())
@@ -184,9 +201,9 @@ def _quoted(text: str) -> str:
 
 _GRID = ", ".join(f"({i}, '{rule}', {c!r}::DOUBLE)" for i, rule in enumerate(GRIDS) for c in GRIDS[rule])
 SQL = rf"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+WITH x AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' '), lambda x: x <> '') AS w,
-        list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l, length(text) AS n FROM t),
+        list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l, length(text) AS n FROM x),
 f AS (SELECT doc_id, stratum,
         CASE WHEN n > 0 THEN (n - length(translate(text, {_quoted(SYMBOLS)}, ''))) / n ELSE 0 END::DOUBLE AS symbols,
         CASE WHEN n > 0 THEN (n - length(translate(text, {_quoted(UPPER)}, ''))) / n ELSE 0 END::DOUBLE AS upper,
@@ -201,8 +218,9 @@ c AS (SELECT stratum, place, rule, cutoff, count_if(quality = 1)::BIGINT AS good
       FROM s JOIN (SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL) USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN lost >= good THEN 1 ELSE list_sum(list_transform(range(0, lost + 1), lambda i:
         exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({ALPHA / len(GRIDS)!r}) + (good - i) * ln({1 - ALPHA / len(GRIDS)!r})))) END AS tail,
-        (SELECT count(*) FROM c) AS tests FROM c WHERE good > 0 AND bad > 0),
-b AS (SELECT *, round(caught / bad - {COST} * lost / good, 12) AS gain FROM p WHERE tail <= {DELTA} / tests),
+        (SELECT count(DISTINCT stratum) FROM c) * {len(GRIDS)} AS tests FROM c WHERE good > 0),
+t AS (SELECT *, bool_and(tail <= {DELTA} / tests) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS good_so_far FROM p),
+b AS (SELECT *, round(caught / bad - {COST} * lost / good, 12) AS gain FROM t WHERE good_so_far AND bad > 0),
 k AS (SELECT stratum, place, rule, cutoff FROM b WHERE gain > 0
       QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) = 1)
 SELECT doc_id, s.stratum, count(k.rule) = 0 AS keep, coalesce(string_agg(k.rule, ',' ORDER BY place), '') AS failed
