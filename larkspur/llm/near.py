@@ -46,8 +46,9 @@ from ._shared import materialise
 from ._text import WORD_RE2, Words, mix, parts_of, runs_at, slices, spread
 
 NGRAM, THRESHOLD, BITS, LEAF, FAN, HOT = 5, 0.6, 1024, 16, 8, 16
-#: N-grams of a chunk, characters of text a partition of n-grams, bytes of n-grams a node.
-CHUNK_GRAMS, PART_CHARS, NODE_BYTES = 1_500_000, 16 << 20, 16 << 20
+#: N-grams of a chunk, characters of text a partition of n-grams (more where that would make over
+#: MOST_PARTS: there executors need memory for larger ones), bytes of n-grams a node.
+CHUNK_GRAMS, PART_CHARS, MOST_PARTS, NODE_BYTES = 1_500_000, 8 << 20, 100_000, 16 << 20
 
 _BLOCKS = "kind byte, pid int, sids binary, sizes binary, place binary, grams binary, level binary, hot binary"
 _GRAMS, _SETTLED, _MEMBERS = 0, 1, 2
@@ -483,7 +484,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     sets with several members or partners; first is the least (doc_id, key) of the class."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // part_chars))
+    parts = max(1, min(MOST_PARTS, -(-chars // part_chars)))
     by_pid = lambda df: df.repartitionById(parts, F.col("pid"))
     settled = materialise(by_pid(texts.mapInArrow(_divide(n, parts, hot), _BLOCKS)).mapInArrow(_settle(parts, hot), _BLOCKS), "near-shared")
     members = materialise(settled.where(F.col("kind") == _MEMBERS).mapInArrow(_members, "doc_id long, key long, sid long").distinct(), "near-members")

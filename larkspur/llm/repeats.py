@@ -43,8 +43,9 @@ from ._shared import materialise
 from ._text import WORD_RE2, Words, mix, parts_of, runs_at, slices, spread
 
 LENGTH, MINIMISER = 50, 12
-#: Nodes of a chunk, characters of text a partition.
-CHUNK_NODES, PART_CHARS = 1_500_000, 16 << 20
+#: Nodes of a chunk, characters of text a partition (more where that would make over MOST_PARTS:
+#: there executors need memory for larger ones).
+CHUNK_NODES, PART_CHARS, MOST_PARTS = 1_500_000, 8 << 20, 100_000
 _BLOCKS = "pid int, stretches binary, lows binary, highs binary, sides binary, counts binary, nodes binary"
 _LOW = np.uint64(32)
 
@@ -150,7 +151,7 @@ def _compact(branching: bool):
         if not columns[0]:
             return
         name, low, high, sides, counts, nodes = map(np.concatenate, columns)
-        columns.clear()
+        del columns
         counts = counts.astype(np.int64)
         starts = np.cumsum(counts) - counts
         own, low, high = _once(name, low, high)
@@ -158,7 +159,7 @@ def _compact(branching: bool):
         nodes = nodes[spread(starts, counts)].astype(np.uint64)
         starts = np.cumsum(counts) - counts
         n = len(nodes)
-        row = np.repeat(np.arange(len(name)), counts)
+        row = np.repeat(np.arange(len(name), dtype=np.int32), counts)
         edge = np.zeros(n, np.uint64)  # the one that begins at the node
         edge[:-1] = nodes[:-1] << _LOW | nodes[1:]
         inside = np.ones(n, bool)
@@ -170,6 +171,7 @@ def _compact(branching: bool):
         if len(at):
             twice = np.minimum.reduceat(low[row[order]], at) < np.maximum.reduceat(high[row[order]], at)
             repeated[order] = np.repeat(twice, np.diff(np.r_[at, len(order)]))
+        del order, places, inside
         mine = np.ones(n, bool)  # nodes of the stretch itself
         mine[starts[(sides & 1) > 0]] = False
         mine[(starts + counts - 1)[(sides & 2) > 0]] = False
@@ -280,7 +282,7 @@ def repeated_paths(docs: DataFrame, length: int = LENGTH, m: int = MINIMISER, pa
     """doc_id, key, start, n (edges), edge (the first one), check of every compacted path of repeated
     edges, from the columns doc_id, key and text."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // part_chars))
+    parts = max(1, min(MOST_PARTS, -(-chars // part_chars)))
     narrow = docs.select("doc_id", "text")
     pieces = narrow.mapInArrow(_graph(length, m, parts), _BLOCKS).repartitionById(parts, F.col("pid")).mapInArrow(_compact(branching), _PIECES)
     where = docs.mapInArrow(_occurrences(length, m), "stretch long, doc_id long, key long, start int").join(pieces.hint("merge"), "stretch").select("doc_id", "key", "start", F.explode("pieces").alias("p"))
