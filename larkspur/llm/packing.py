@@ -92,7 +92,7 @@ def pack(counted: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD
     counted = materialise(counted.where("n_tokens > 0"), "token-counts")
     total = counted.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    sharded = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    sharded = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
     return sharded.repartition(min(shards, 100_000), "shard").groupBy("shard").applyInArrow(_pack(capacity), _OUT)
 
 

@@ -91,6 +91,8 @@ def test_packing(docs, empty):
 def test_mixing(docs, empty, labels, none):
     assert mixing.mix(docs, labels).count() == 10
     assert mixing.mix(empty, labels).count() == 0
+    clashing = docs.withColumnsRenamed({"size": "_mixed", "h": "_often", "rate": "_time"})
+    assert mixing.resample(clashing, labels).columns == clashing.columns
     mixed = mixing.resample(docs, none)
     assert mixed.columns == docs.columns
     assert sum(r.doc_id is None for r in mixed.collect()) == 1
