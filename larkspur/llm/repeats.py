@@ -45,7 +45,7 @@ from ._text import WORD_RE2, Words, mix, parts_of, runs_at, slices, spread
 LENGTH, MINIMISER = 50, 12
 #: Nodes of a chunk, characters of text a partition (more where that would make over MOST_PARTS:
 #: there executors need memory for larger ones).
-CHUNK_NODES, PART_CHARS, MOST_PARTS = 1_500_000, 8 << 20, 100_000
+CHUNK_NODES, PART_CHARS, MOST_PARTS = 750_000, 8 << 20, 100_000
 _BLOCKS = "pid int, stretches binary, lows binary, highs binary, sides binary, counts binary, nodes binary"
 _LOW = np.uint64(32)
 
