@@ -48,7 +48,7 @@ from ._text import WORD_RE2, Words, mix, parts_of, runs_at, slices, spread
 NGRAM, THRESHOLD, BITS, LEAF, FAN, HOT = 5, 0.6, 1024, 16, 8, 16
 #: N-grams of a chunk, characters of text a partition of n-grams (more where that would make over
 #: MOST_PARTS: there executors need memory for larger ones), bytes of n-grams a node.
-CHUNK_GRAMS, PART_CHARS, MOST_PARTS, NODE_BYTES = 1_500_000, 8 << 20, 100_000, 16 << 20
+CHUNK_GRAMS, PART_CHARS, MOST_PARTS, NODE_BYTES = 750_000, 8 << 20, 100_000, 16 << 20
 
 _BLOCKS = "kind byte, pid int, sids binary, sizes binary, place binary, grams binary, level binary, hot binary"
 _GRAMS, _SETTLED, _MEMBERS = 0, 1, 2
@@ -505,7 +505,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     side = F.when(F.col("node") == F.col("n1"), 1).otherwise(2)
     across = placed.join(pairs.hint("merge"), "bucket").where("node = n1 OR node = n2").select("bucket", "sid", "size", "m", "earlier", "unit", side.alias("side"))
     units = within.unionByName(across).join(sets.select("sid", "grams", "bitmap").hint("merge"), "sid")
-    found = materialise(units.repartition("unit").sortWithinPartitions("unit", "bucket", "size", "sid").mapInArrow(_links(threshold), "sid long, root long, links long"), "near-links")
+    # a partition for each node, and for pairs of nodes as many as there are pairs
+    crossings = max(1, pairs.count())
+    place = F.when(F.col("side") == 0, F.col("unit")).otherwise(nodes + F.pmod(F.xxhash64("unit"), F.lit(crossings))).cast("int")
+    found = materialise(units.repartitionById(nodes + crossings, place).sortWithinPartitions("unit", "bucket", "size", "sid").mapInArrow(_links(threshold), "sid long, root long, links long"), "near-links")
     leaders = components(found.select("sid", "root"), "sid", "root").select(F.col("node").alias("sid"), "leader")
     links = found.groupBy("sid").agg(F.sum("links").alias("links"))
     own = many.join(links, "sid", "left").join(leaders, "sid", "left").select("sid", "first", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("leader", "sid").alias("leader"))
