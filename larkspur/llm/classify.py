@@ -77,12 +77,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = S
     weights, first, second = (np.zeros((classes, WIDTH)) for _ in range(3))
     if not len(rows):
         return weights
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.concatenate(rows).astype(np.int64)
+    lengths = np.array([len(r) for r in rows])  # every text has features, as statistics are some
+    starts, n = np.cumsum(lengths) - lengths, len(rows)
+    feature = np.concatenate(rows)
+    rows.clear()
     wanted = np.eye(classes)[labels]
     for step in range(1, steps + 1):
-        error = (softmax(_scores(row, feature, len(rows), weights)) - wanted) / len(rows)
-        slope = np.stack([np.bincount(feature, error[row, c], WIDTH) for c in range(classes)]) * _VALUE + penalty * weights
+        scores = np.stack([np.add.reduceat(w[feature], starts) for w in weights * _VALUE], axis=1)
+        error = (softmax(scores) - wanted) / n
+        slope = np.stack([np.bincount(feature, np.repeat(error[:, c], lengths), WIDTH) for c in range(classes)]) * _VALUE + penalty * weights
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         weights = weights - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
@@ -116,7 +119,9 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, classes: int, id_co
     order = [*_PLACE[:2], "label", _PLACE[2]]
     found = placed.mapInArrow(_collect, "place long, id_text string, text_hash long, label int, features binary").orderBy(*order).limit(sample).select("label", "features").toArrow()
     rows = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
-    return fit(rows, found.column("label").to_numpy(), classes)
+    known = found.column("label").to_numpy()
+    del found
+    return fit(rows, known, classes)
 
 
 def posteriors(column: pa.Array, weights: np.ndarray) -> np.ndarray:
