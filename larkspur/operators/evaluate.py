@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..functions.text import content_tokens, critical_terms, is_abstention, normalize_lower, sentences
+from ..functions.text import bound, content_tokens, critical_terms, is_abstention, normalize_lower, sentences
 
 DEPTHS, SUPPORT = (1, 3, 5, 10), 0.55
 
@@ -62,7 +63,7 @@ def retrieval_metrics(items: DataFrame, results: DataFrame, depths: tuple[int, .
     results: query_id, chunk_id, rank. Recall is null without gold; the reciprocal rank is 0
     without a hit."""
     found = results.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("_found"))
-    kind = items.schema["gold"].dataType
+    kind = T.ArrayType(items.schema["gold"].dataType.elementType)
     joined = items.join(found, "query_id", "left").withColumn("_found", F.coalesce(F.col("_found").cast(kind), F.array().cast(kind)))
     gold = F.array_distinct(F.coalesce("gold", F.array().cast(kind)))
     first = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit(0).alias("hit")), lambda a, x: F.struct((a["at"] + 1).alias("at"), F.when((a["hit"] == 0) & F.array_contains(gold, x), a["at"] + 1).otherwise(a["hit"]).alias("hit")))["hit"]
@@ -76,6 +77,23 @@ def retrieval_metrics(items: DataFrame, results: DataFrame, depths: tuple[int, .
     return joined.withColumns(columns).drop("_found")
 
 
+def quoting(docs: DataFrame, queries: DataFrame, n: int = 6) -> DataFrame:
+    """query_id, chunk_id of the docs (chunk_id, content) whose content holds the whole query: pairs meet
+    by n words inside the query, then the text is compared. Queries of fewer words are compared with
+    all docs."""
+    words = lambda c: F.split(c, " ")
+    keyed = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
+    asked = queries.select("query_id", "query", words(F.col("query")).alias("w"))
+    long_ = asked.where(F.size("w") >= n + 2).select("query_id", "query", keyed(F.col("w"), F.lit(2)).alias("key"))
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: keyed(w, i)))
+    held = docs.select("chunk_id", F.explode(bound(words(F.col("content")), runs)).alias("key"))
+    pairs = held.join(long_, "key").join(docs.select("chunk_id", "content"), "chunk_id").where(F.contains("content", "query")).select("query_id", "chunk_id")
+    short = asked.where((F.size("w") < n + 2) & (F.length("query") > 0))
+    if short.limit(1).count():
+        pairs = pairs.unionByName(short.join(docs, F.contains("content", "query")).select("query_id", "chunk_id"))
+    return pairs.distinct()
+
+
 def token_coverage(items: DataFrame, results: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """query_id, coverage_k: share of the content tokens of expected_answer that the first k results
     hold together, counted as multisets. One pass over the results' tokens, joined with those that an

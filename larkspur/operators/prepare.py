@@ -24,6 +24,7 @@ from . import catalog, chunking, clauses, manifest
 
 LESSON_FIELDS = ["Subject", "Abstract", "Driving Event", "Lesson(s) Learned", "Recommendation(s)", "Evidence of Recurrence Control Effectiveness"]
 LESSON_KEYS = ["Lesson Number", "Lesson Date", "Submitting Organization", "Program/Project Phase", "Mission Directorate(s)", "Topic(s)", "source_id"]
+CORPUS = "generated_at string, doc_id string, record_id string, title string, content string, source_path string, relative_path string, source_type string, authority_level string, record_kind string, part_index int, source_record long, page int, page_start int, page_end int, section string, section_title string, standard_id string, metadata map<string,string>"
 _UNITS = "relative_path string, unit long, kind string, text string, title string, fields map<string,string>, error string, message string"
 _NAMES = [c.split()[0] for c in _UNITS.split(", ")]
 
@@ -163,13 +164,14 @@ def parts_of(units: DataFrame, most: int) -> DataFrame:
         .otherwise(F.col("text"))
     )
     ready = named.withColumn("clean", tx.normalize_text(text))
-    whole = F.filter(chunking.pack_paragraphs(F.col("clean"), most), lambda x: x != "")
+    # a record of a file without text stays as one empty part, which fails its file
+    whole = F.when(F.col("clean") == "", F.array(F.lit(""))).otherwise(F.filter(chunking.pack_paragraphs(F.col("clean"), most), lambda x: x != ""))
     cut = ready.withColumn("pieces", F.when(kind.isin("jsonl_record", "standard_clause"), whole).otherwise(chunking.records(F.col("clean"), most)))
     stem = F.regexp_extract("name", r"^(.*?)(?:\.[^.]*)?$", 1)
     title = F.coalesce(F.col("title"), F.nullif(F.try_element_at("front", F.lit("title")), F.lit("")), tx.first_heading(F.col("body")), stem)
     each = cut.withColumn("title", title).select("*", F.posexplode("pieces").alias("at", "piece"))
     piece = F.when(F.col("heading").isNotNull() & ~F.startswith("piece", "heading"), tx.normalize_text(F.concat("heading", F.lit("\n\n"), "piece"))).otherwise(tx.normalize_text(F.col("piece")))
-    return each.withColumns({"part_index": F.col("at") + 1, "content": piece}).where("content <> ''").drop("clean", "pieces", "at", "piece", "body", "text")
+    return each.withColumns({"part_index": F.col("at") + 1, "content": piece}).drop("clean", "pieces", "at", "piece", "body", "text")
 
 
 def records(parts: DataFrame, generated_at: str) -> DataFrame:
@@ -202,9 +204,11 @@ def parse_files(files: DataFrame, generated_at: str, most: int = 6000, pdf_mode:
     failed = units.where("error IS NOT NULL").select("relative_path", F.col("error").alias("failure"), "message")
     parts = materialise(parts_of(units.where("error IS NULL").drop("error", "message").join(about, "relative_path"), most), "parts")
     empty = units.where("error IS NULL").select("relative_path").distinct().join(parts.select("relative_path").distinct(), "relative_path", "left_anti")
+    blank = parts.where("content = ''").select("relative_path").distinct()
+    failed = failed.unionByName(blank.select("relative_path", F.lit("empty_record").alias("failure"), F.lit("a record is empty after cleaning").alias("message")))
     failed = failed.unionByName(empty.select("relative_path", F.lit("empty_content").alias("failure"), F.lit("no text records were produced").alias("message")))
     failures = failed.join(about, "relative_path").select(F.lit(generated_at).alias("generated_at"), F.col("failure").alias("reason"), "message", "source_path", "relative_path", "parse_route", F.col("reason").alias("selected_for"))
-    return records(parts, generated_at), failures
+    return records(parts.join(blank, "relative_path", "left_anti"), generated_at), failures
 
 
 def prepare(spark: SparkSession, options: PrepareOptions, pages=pdf_pages) -> dict:
@@ -234,6 +238,11 @@ def report_markdown(report: dict) -> str:
     return "\n".join(lines + markdown_lines("Failures", ["Reason", "Files"], report["failures"].items()))
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """Corpus records from JSON lines."""
+    return spark.read.schema(CORPUS).json(path)
+
+
 def corpus_chunks(corpus: DataFrame, allowed: DataFrame | None = None, limit: int | None = None, skip: int = 0) -> DataFrame:
     """Corpus records as chunks: chunk_id, doc_id, content, source_path, metadata, doc (PDF name).
     allowed: column doc with the names to keep, none or an empty one for all; skip and limit count

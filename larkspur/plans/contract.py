@@ -6,15 +6,22 @@ conversations the answers.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..config import Config
 from ..functions import text as tx
-from ..operators import catalog, chunking, evaluate, expand
+from ..operators import catalog, chunking, evaluate, expand, manifest, questions
 from ..operators.dense import cosine_top_k, hash_embedding
 from ..operators.fusion import blended_rerank, identity_rerank, lexical_rerank, rrf
 from ..operators.lexical import bm25, document_frequencies, document_lengths
+from ..providers import HashEmbedder
+from ..scratch import scratch_path
+from ..search import Hybrid, Hyde, MultiQuery
+from ..stores import Ingestor, TableKeywords, TableStore, TableVectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,6 +155,13 @@ def bm25_topk_filtered(spark, sf_dir):
     return _show(bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 10, F.col("lang") == "en"))
 
 
+@query(f"""WITH {_Q}, {_bm25(10, "lang IN ('en', 'de') AND source IS NOT DISTINCT FROM source")} SELECT {_SHOW} FROM b""")
+def bm25_topk_metadata(spark, sf_dir):
+    """A filter on a map of metadata: one of a list, and a key that no chunk has."""
+    held = chunks(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source"))
+    return _show(bm25(held, asked(spark, sf_dir), 10, expand.matches(F.col("metadata"), {"lang": ["en", "de"], "missing": None})))
+
+
 # --- vector search --------------------------------------------------------------------------------
 
 _COS = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
@@ -220,6 +234,20 @@ def _words(x: str) -> str:
     return f"list_filter(string_split(replace(lower({x}), chr(10), ' '), ' '), lambda t: t <> '')"
 
 
+def searcher(spark, sf_dir, **sizes) -> Hybrid:
+    """Documents in stores of their own, with vectors of hashes."""
+    vectors, keywords = (TableStore(spark, scratch_path(spark, n)) for n in ("vectors", "keywords"))
+    store = Ingestor(HashEmbedder(), TableVectors(vectors), TableKeywords(keywords))
+    store.chunks(chunks(spark, sf_dir).select("chunk_id", "content", "lang"))
+    return Hybrid(store.embedder, store.vectors, store.keywords, config=Config(**sizes))
+
+
+@query(f"{_HYBRID}{_fuse(60)} SELECT {_SHOW}, source FROM f WHERE rank <= 8")
+def hybrid_search(spark, sf_dir):
+    """Ingest into both stores, then vector and keyword search, fusion and cut with default sizes."""
+    return _show(searcher(spark, sf_dir).search(asked(spark, sf_dir)), "source")
+
+
 @query(f"""{_HYBRID}{_fuse(60)}, x AS (SELECT f.query_id, f.chunk_id, f.rank AS place, f.source || '+rerank' AS source,
   len(list_distinct(list_intersect({_words('q.query')}, {_words('d.text')}))) + 0.01 * f.score AS score FROM f JOIN q USING (query_id) JOIN documents d ON d.doc_id = f.chunk_id)
 SELECT query_id, chunk_id, round(score, 6) AS score, source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS rank FROM x QUALIFY rank <= 8""")
@@ -277,7 +305,23 @@ def split_sections(spark, sf_dir):
     return found.withColumn("place", F.col("place").cast("long"))
 
 
-@query(None)
+_PIECES = f"list_filter(list_transform(range(0, greatest(ceil(length(y) / 700)::BIGINT - 1, 0) + 1), lambda i: {_strip('substr(y, i * 700 + 1, 700)')}), lambda z: z <> '')"
+_SECTIONS = rf"list_filter(list_transform(string_split(regexp_replace({_clean('text')}, '\n([ \t]{{0,3}}#{{1,6}}\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '')"
+
+
+@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, unnest({_SECTIONS}) AS s, unnest(range(len({_SECTIONS}))) AS sn FROM documents),
+p AS (SELECT doc_id, sn, s, CASE WHEN length(s) <= 700 THEN [s] ELSE list_filter(list_transform(regexp_split_to_array(s, '\n\s*\n'), lambda x: {_strip('x')}), lambda x: x <> '') END AS ps FROM s),
+r(doc_id, sn, ps, i, out, cur) AS (
+  SELECT doc_id, sn, ps, 1, CASE WHEN length(s) <= 700 THEN [s] ELSE []::VARCHAR[] END, '' FROM p WHERE len(ps) > 0 AND (length(s) > 700 OR true)
+  UNION ALL SELECT doc_id, sn, ps, i + 1, out || CASE
+      WHEN length(x) > 700 THEN (CASE WHEN tops THEN [cur || chr(10) || chr(10) || substr(x, 1, free)] WHEN length(cur) > 0 THEN [cur] ELSE []::VARCHAR[] END) || {_PIECES.replace('y', 'y')}
+      WHEN length(cur) > 0 AND length(cur) + length(x) + 2 > 700 THEN [cur] ELSE []::VARCHAR[] END,
+    CASE WHEN length(x) > 700 THEN '' WHEN length(cur) > 0 AND length(cur) + length(x) + 2 > 700 THEN x WHEN length(cur) = 0 THEN x ELSE cur || chr(10) || chr(10) || x END
+  FROM (SELECT *, ps[i] AS x, 700 - length(cur) - 2 AS free, length(cur) > 0 AND 700 - length(cur) - 2 > 120 AS tops,
+          CASE WHEN length(cur) > 0 AND 700 - length(cur) - 2 > 120 THEN substr(ps[i], 700 - length(cur) - 2 + 1) ELSE ps[i] END AS y FROM r WHERE i <= len(ps) AND NOT (i = 1 AND len(out) = 1)) t),
+e AS (SELECT doc_id, sn, CASE WHEN len(out) = 1 AND i = 1 THEN out WHEN cur <> '' THEN out || [cur] ELSE out END AS out FROM r WHERE i > len(ps) OR (i = 1 AND len(out) = 1)),
+f AS (SELECT doc_id, sn, unnest(range(len(out))) AS j, unnest(out) AS content FROM e)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sn, j) - 1)::INT AS place, content FROM f WHERE content <> ''""")
 def split_long(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.records(F.col("text"), 700)).alias("place", "content"))
 
@@ -339,6 +383,22 @@ def top_extensions(spark, sf_dir):
     return catalog.counts(_files(spark, sf_dir), "extension", 20)
 
 
+@query(f"WITH {_FILES} SELECT count(*) AS files, sum(size_bytes)::BIGINT AS size_bytes, round_even(sum(size_bytes) / 1073741824, 2) AS size_gb FROM f")
+def scan_totals(spark, sf_dir):
+    return manifest.totals(_files(spark, sf_dir))
+
+
+@query(f"""WITH {_FILES}, k AS (SELECT top, size_bytes, CASE WHEN ext = '' THEN '<none>' ELSE ext END AS e, split_part({_REASON}, ' ', 1) AS a FROM f),
+x AS (SELECT top, e, count(*) AS n FROM k GROUP BY ALL), y AS (SELECT top, a, count(*) AS n FROM k GROUP BY ALL)
+SELECT t.top AS top_level, files, size_bytes, size_mb, (SELECT string_agg(e || ':' || n, ', ' ORDER BY n DESC, e) FROM (SELECT * FROM x WHERE x.top = t.top ORDER BY n DESC, e LIMIT 8)) AS extensions,
+  (SELECT string_agg(a || ':' || n, ', ' ORDER BY a) FROM y WHERE y.top = t.top) AS actions
+FROM (SELECT top, count(*) AS files, sum(size_bytes)::BIGINT AS size_bytes, round_even(sum(size_bytes) / 1048576, 2) AS size_mb FROM k GROUP BY top) t""")
+def scan_directories(spark, sf_dir):
+    files = _files(spark, sf_dir).withColumn("action", catalog.policy(F.col("path"), F.col("extension"), RULES)["action"])
+    flat = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["value"], x["files"].cast("string"))), ", ")
+    return manifest.directories(files).withColumns({c: flat(c) for c in ("extensions", "actions")})
+
+
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def upsert_latest(spark, sf_dir):
     return catalog.upsert_latest(table(spark, sf_dir, "events"), "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type", "value")
@@ -380,7 +440,11 @@ def synonym_variants(spark, sf_dir):
     return expand.variants(asked(spark, sf_dir), expand.synonym_variants(F.col("query")))
 
 
-@query(None)
+@query(rf"""WITH {_Q}, c AS (SELECT query_id, query, regexp_extract_all(query, '[{tx.CJK}]') AS c FROM q),
+p AS (SELECT query_id, [query] || list_filter(CASE WHEN len(c) > 0 THEN regexp_split_to_array(query, '[的与和及、,， ]+') ELSE regexp_split_to_array(query, '(?i)\s+(?:and|or|&)\s*|[\s,;]\s*') END, lambda x: length(x) >= 2)
+  || CASE WHEN len(c) >= 3 THEN [query || ' ' || array_to_string(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), ' ')] ELSE []::VARCHAR[] END AS p FROM c),
+u AS (SELECT query_id, unnest(p) AS variant, unnest(range(len(p))) AS i FROM p), d AS (SELECT query_id, variant, min(i) AS i FROM u GROUP BY ALL)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS place, variant FROM d QUALIFY place < 6""")
 def subquery_variants(spark, sf_dir):
     return expand.variants(asked(spark, sf_dir), expand.subquery_variants(F.col("query")))
 
@@ -415,12 +479,25 @@ def multi_query_rrf(spark, sf_dir):
     return _show(multi_query(spark, sf_dir, expand.synonym_variants(F.col("query"))))
 
 
-@query(None)
+_CTES = "hdt hdp hdn hd hqt hqp hqn hq vs v qt dt st po fr bs b fu fg f q".split()
+
+
+def _renamed(sql: str, suffix: str) -> str:
+    """A fragment whose tables have other names."""
+    return re.sub(rf"\b({'|'.join(_CTES)})\b", rf"\1{suffix}", sql)
+
+
+_BY_TEXT = _renamed(f"q AS (SELECT query_id, query FROM hy), {_dense(100)}, {_bm25(1)}, {_fuse(20)}", "_t")
+_BY_WORD = _renamed(f"q AS (SELECT query_id, query FROM q0), {_dense(1)}, {_bm25(100)}, {_fuse(20)}", "_w")
+
+
+@query(f"""WITH q0 AS (SELECT item_id AS query_id, text AS query FROM benchmark), {_HYDE.replace('FROM q)', 'FROM q0)')}, {_BY_TEXT}, {_BY_WORD},
+z AS (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS part, source || '+hyde' AS source, rank AS pos FROM f_t UNION ALL SELECT query_id, chunk_id, 1.0 / (60 + rank), source, 1000000 + rank FROM f_w),
+y AS (SELECT query_id, chunk_id, sum(part) AS score, array_to_string(list_sort(list_distinct(flatten(list(string_split(source, '+'))))), '+') AS source, min(pos) AS pos FROM z GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 6) AS score, source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, pos, chunk_id) AS rank FROM y QUALIFY rank <= 20""")
 def hyde_rrf(spark, sf_dir):
-    """Dense search with the hypothetical text and keyword search with the query, both hybrid, fused."""
-    made = hybrid(spark, sf_dir, asked(spark, sf_dir).select("query_id", expand.hypothetical(F.col("query")).alias("query")), 20, n_bm25=1)
-    own = hybrid(spark, sf_dir, k=20, n_vector=1)
-    return _show(rrf([made.withColumn("source", F.concat("source", F.lit("+hyde"))), own], 20), "source")
+    """Vector search with the hypothetical text and keyword search with the query, fused."""
+    return _show(Hyde(searcher(spark, sf_dir, final_top_k=20)).search(asked(spark, sf_dir)), "source")
 
 
 # --- evaluation -----------------------------------------------------------------------------------
@@ -428,18 +505,21 @@ def hyde_rrf(spark, sf_dir):
 _METRICS = ["mrr", *(f"{m}_{k}" for k in evaluate.DEPTHS for m in ("recall", "precision"))]
 
 
+def _items(spark, sf_dir) -> DataFrame:
+    """Queries, the documents that quote them as gold; negative without any."""
+    q, docs = asked(spark, sf_dir), chunks(spark, sf_dir).select("chunk_id", "content", "source")
+    held = evaluate.quoting(docs, q).join(docs.select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg(F.collect_set("chunk_id").alias("gold"), F.collect_set("source").alias("gold_docs"))
+    return q.join(held, "query_id", "left").withColumns({"kind": F.when(F.length("query") < 200, "short").otherwise("long"), "negative": F.col("gold").isNull()})
+
+
 def _measured(spark, sf_dir) -> DataFrame:
-    q = asked(spark, sf_dir)
-    held = q.join(chunks(spark, sf_dir).select("chunk_id", "content"), F.contains("content", "query")).groupBy("query_id").agg(F.collect_set("chunk_id").alias("gold"))
-    kind = F.when(F.length("query") < 200, "short").otherwise("long")
-    items = q.join(held, "query_id", "left").withColumn("kind", kind)
-    return evaluate.retrieval_metrics(items, bm25(chunks(spark, sf_dir), q, 10))
+    return evaluate.retrieval_metrics(_items(spark, sf_dir), bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 10))
 
 
 _MEASURED = f"""WITH {_Q}, {_bm25(10)},
 g AS (SELECT query_id, doc_id AS chunk_id FROM q JOIN documents ON contains(text, query)), n AS (SELECT query_id, count(*) AS n FROM g GROUP BY ALL),
 h AS (SELECT query_id, rank, g.chunk_id IS NOT NULL AS hit FROM b LEFT JOIN g USING (query_id, chunk_id)),
-m AS (SELECT q.query_id, CASE WHEN length(query) < 200 THEN 'short' ELSE 'long' END AS kind, coalesce(1 / min(rank) FILTER (hit), 0) AS mrr,
+m AS (SELECT q.query_id, any_value(n) IS NULL AS negative, CASE WHEN length(query) < 200 THEN 'short' ELSE 'long' END AS kind, coalesce(1 / min(rank) FILTER (hit), 0) AS mrr,
   {', '.join(f"CASE WHEN any_value(n) > 0 THEN count_if(hit AND rank <= {k}) / any_value(n) END AS recall_{k}, CASE WHEN any_value(n) > 0 THEN coalesce(count_if(hit AND rank <= {k}) / nullif(count_if(rank <= {k}), 0), 0) END AS precision_{k}" for k in evaluate.DEPTHS)}
   FROM q LEFT JOIN h USING (query_id) LEFT JOIN n USING (query_id) GROUP BY q.query_id, query)"""
 
@@ -449,10 +529,63 @@ def retrieval_metrics(spark, sf_dir):
     return _measured(spark, sf_dir).select("query_id", *(F.round(m, 6).alias(m) for m in _METRICS))
 
 
-@query(f"{_MEASURED} SELECT kind, count(*) AS items, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)} FROM m GROUP BY GROUPING SETS ((), (kind))")
+@query(f"{_MEASURED} SELECT kind, count(*) AS items, count_if(NOT negative)::BIGINT AS positive_items, {', '.join(f'round(avg({m}) FILTER (NOT negative), 6) AS {m}' for m in _METRICS)} FROM m GROUP BY GROUPING SETS ((), (kind))")
 def metrics_by_type(spark, sf_dir):
+    """Means over the items that have gold, by kind and over all."""
     found = evaluate.summary(_measured(spark, sf_dir), "kind", _METRICS)
-    return found.select("kind", "items", *(F.round(m, 6).alias(m) for m in _METRICS))
+    return found.select("kind", "items", "positive_items", *(F.round(m, 6).alias(m) for m in _METRICS))
+
+
+def _grounding(key: str, source: str) -> str:
+    """Needs a table with key, text (the answer) and before (the evidence); gives gs: key, abstained,
+    n_sentences, unsupported."""
+    terms = _TERMS.replace("(text,", "(s,")
+    supported = f"{_overlap('a', 'b')} / len(a) >= {evaluate.SUPPORT} AND len(list_filter({terms}, lambda t: NOT contains({_norm('lower(before)')}, {_norm('lower(t)')}))) = 0"
+    return f"""gt AS (SELECT {key}, text, before, {_SENT} AS ss, ({_NO_ANSWER}) AS abstained FROM {source}),
+gu AS (SELECT {key}, before, unnest(ss) AS s FROM gt), gv AS (SELECT {key}, s, before, {_content('s')} AS a, {_content('before')} AS b FROM gu),
+gw AS (SELECT {key}, count_if(NOT ({supported})) AS bad FROM gv GROUP BY ALL),
+gs AS (SELECT {key}, abstained, len(ss)::INT AS n_sentences, (CASE WHEN abstained THEN 0 ELSE coalesce(bad, 0) END)::INT AS unsupported,
+  CASE WHEN len(ss) > 0 THEN (CASE WHEN abstained THEN 0 ELSE coalesce(bad, 0) END) / len(ss) ELSE 0 END AS hallucination_rate FROM gt LEFT JOIN gw USING ({key}))"""
+
+
+_RAG_MEANS = ["mrr", "first_gold_rank_median", *(f"{m}_{k}" for k in evaluate.DEPTHS for m in ("slice_recall", "slice_all_hit", "doc_recall", "doc_all_hit", "source_precision", "coverage")), *evaluate.ANSWER_MEANS]
+_SAY = "CASE query_id % 3 WHEN 0 THEN 'Insufficient information.' WHEN 1 THEN query || ' It weighs 12.5 kg.' END"
+_PER_K = lambda f: ", ".join(f(k) for k in evaluate.DEPTHS)
+
+
+@query(f"""WITH {_Q}, {_bm25(10)}, g AS (SELECT query_id, doc_id AS chunk_id, source FROM q JOIN documents ON contains(text, query)),
+n AS (SELECT query_id, count(DISTINCT chunk_id) AS n, count(DISTINCT source) AS nd FROM g GROUP BY ALL), gd AS (SELECT DISTINCT query_id, source FROM g),
+r AS (SELECT b.query_id, b.rank, d.source, d.text AS content, g.chunk_id IS NOT NULL AS hit, gd.source IS NOT NULL AS dochit FROM b JOIN documents d ON d.doc_id = b.chunk_id
+  LEFT JOIN g ON g.query_id = b.query_id AND g.chunk_id = b.chunk_id LEFT JOIN gd ON gd.query_id = b.query_id AND gd.source = d.source),
+et AS (SELECT query_id, token, count(*) AS wanted FROM (SELECT query_id, unnest({_content('query')}) AS token FROM q) GROUP BY ALL),
+rt AS (SELECT query_id, rank, token, count(*) AS n FROM (SELECT query_id, rank, unnest({_content('content')}) AS token FROM r) GROUP BY ALL),
+ct AS (SELECT query_id, token, wanted, {_PER_K(lambda k: f'coalesce(sum(n) FILTER (rank <= {k}), 0) AS n_{k}')} FROM et LEFT JOIN rt USING (query_id, token) GROUP BY ALL),
+cv AS (SELECT query_id, {_PER_K(lambda k: f'sum(least(wanted, n_{k})) / sum(wanted) AS coverage_{k}')} FROM ct GROUP BY ALL),
+ev AS (SELECT query_id, string_agg(content, chr(10) ORDER BY rank) AS before FROM r GROUP BY ALL),
+an AS (SELECT query_id, query, {_SAY} AS text, coalesce(before, '') AS before FROM q LEFT JOIN ev USING (query_id) WHERE query_id % 3 < 2), {_grounding('query_id', 'an')},
+m AS (SELECT q.query_id, query, any_value(n) IS NULL AS negative, CASE WHEN length(query) < 200 THEN 'short' ELSE 'long' END AS kind, min(rank) FILTER (hit) AS first,
+  {_PER_K(lambda k: f'''count_if(hit AND rank <= {k}) / any_value(n) AS slice_recall_{k}, coalesce(count_if(hit AND rank <= {k}) = any_value(n), false) AS slice_all_hit_{k},
+  count(DISTINCT source) FILTER (dochit AND rank <= {k}) / any_value(nd) AS doc_recall_{k}, coalesce(count(DISTINCT source) FILTER (dochit AND rank <= {k}) = any_value(nd), false) AS doc_all_hit_{k},
+  CASE WHEN any_value(n) > 0 THEN coalesce(count_if(dochit AND rank <= {k}) / nullif(count_if(rank <= {k}), 0), 0) END AS source_precision_{k}''')}
+  FROM q LEFT JOIN r USING (query_id) LEFT JOIN n USING (query_id) GROUP BY q.query_id, query),
+w AS (SELECT m.*, an.text AS answer, abstained, hallucination_rate, {_content('m.query')} AS x, {_content('an.text')} AS y, cv.* EXCLUDE (query_id) FROM m LEFT JOIN cv USING (query_id) LEFT JOIN an USING (query_id) LEFT JOIN gs USING (query_id)),
+o AS (SELECT *, CASE WHEN answer IS NOT NULL AND NOT negative THEN CASE WHEN len(x) > 0 AND len(y) > 0 THEN 2 * {_overlap('y', 'x')} / (len(x) + len(y)) ELSE 0 END END AS f1,
+  CASE WHEN answer IS NOT NULL AND NOT negative THEN CASE WHEN len(x) > 0 THEN {_overlap('x', 'y')} / len(x) ELSE 0 END END AS er FROM w)
+SELECT kind, count(*) AS items, count_if(NOT negative)::BIGINT AS positive_items, count_if(negative)::BIGINT AS negative_items, count(answer) AS answered_items,
+  round(avg(coalesce(1 / first, 0)) FILTER (NOT negative), 6) AS mrr, round(median(first) FILTER (NOT negative), 6) AS first_gold_rank_median,
+  {_PER_K(lambda k: f'''round(avg(slice_recall_{k}) FILTER (NOT negative), 6) AS slice_recall_{k}, round(avg(slice_all_hit_{k}::INT) FILTER (NOT negative), 6) AS slice_all_hit_{k}, round(avg(doc_recall_{k}) FILTER (NOT negative), 6) AS doc_recall_{k},
+  round(avg(doc_all_hit_{k}::INT) FILTER (NOT negative), 6) AS doc_all_hit_{k}, round(avg(source_precision_{k}) FILTER (NOT negative), 6) AS source_precision_{k}, round(avg(coalesce(coverage_{k}, 0)) FILTER (NOT negative), 6) AS coverage_{k}''')},
+  round(avg(f1), 6) AS answer_token_f1, round(avg(er), 6) AS answer_expected_recall, round(avg(hallucination_rate), 6) AS hallucination_rate, round(avg(1 - hallucination_rate), 6) AS grounded_rate,
+  round(avg(CASE WHEN negative AND answer IS NOT NULL THEN abstained::INT END), 6) AS negative_abstention_correct FROM o GROUP BY GROUPING SETS ((), (kind))""")
+def evaluate_rag(spark, sf_dir):
+    """Retrieval, coverage and answers of all items, summed up over all and by kind."""
+    q = asked(spark, sf_dir)
+    held = bm25(chunks(spark, sf_dir), q, 10).join(chunks(spark, sf_dir).select("chunk_id", "content", F.col("source").alias("doc")), "chunk_id")
+    said = F.when(F.col("query_id") % 3 == 0, "Insufficient information.").when(F.col("query_id") % 3 == 1, F.concat("query", F.lit(" It weighs 12.5 kg.")))
+    answers = q.select("query_id", said.alias("answer")).where("answer IS NOT NULL")
+    scored = evaluate.score_items(_items(spark, sf_dir).withColumn("expected_answer", F.col("query")), held, answers)
+    found = evaluate.summarise(scored, "kind")
+    return found.select("kind", "items", "positive_items", "negative_items", "answered_items", *(F.round(F.col(m).cast("double"), 6).alias(m) for m in _RAG_MEANS))
 
 
 _SAID = "c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before FROM conversations), k AS (SELECT *, " + f"{_content('text')} AS a, {_content('before')} AS b FROM c WHERE before IS NOT NULL)"
@@ -466,7 +599,7 @@ def answer_overlap(spark, sf_dir):
     return said.select("conv_id", "turn", F.round(evaluate.token_f1(F.col("text"), F.col("before")), 6).alias("f1"), F.round(evaluate.coverage(F.col("before"), F.col("text")), 6).alias("coverage"))
 
 
-@query(None)
+@query(f"""WITH {_SAID}, {_grounding('conv_id, turn', 'k')} SELECT conv_id, turn, abstained, n_sentences, unsupported, round(hallucination_rate, 6) AS hallucination_rate, round(1 - hallucination_rate, 6) AS grounded_rate FROM gs""")
 def answer_grounding(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
     said = table(spark, sf_dir, "conversations").withColumn("before", before).where("before IS NOT NULL")
@@ -474,6 +607,44 @@ def answer_grounding(spark, sf_dir):
     return found.select("conv_id", "turn", "abstained", "n_sentences", "unsupported", F.round("hallucination_rate", 6).alias("hallucination_rate"), F.round("grounded_rate", 6).alias("grounded_rate"))
 
 
+_HAS = lambda words: "(" + " OR ".join(f"contains(lower(source || ' ' || t), '{w}')" for w in words) + ")"
+_COMMON = ["dom", "tera", "lis"]
+_RECORDS = f"x AS (SELECT doc_id, source, lang, {_norm('text')} AS t FROM documents)"
+_PARAMETER = rf"(regexp_matches(lower(t), '{questions._UNIT}') OR " + " OR ".join(f"contains(lower(t), '{w}')" for w in ("table", "figure", "threshold", "limit")) + ")"
+
+
+def _question_records(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    none = F.lit(None).cast("int")
+    return docs.select(
+        F.col("doc_id").alias("record_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("pdf"), F.lit("").alias("source_path"), F.col("doc_id").cast("string").alias("section"), F.col("source").alias("section_title"),
+        none.alias("page_start"), none.alias("page_end"), tx.normalize_space(F.col("text")).alias("content"), F.col("doc_id").alias("seq"),
+    ).where("content <> ''")
+
+
+@query(f"""WITH {_RECORDS} SELECT doc_id AS record_id, {_HAS(questions.REQUIREMENTS)} AS requirement, {_HAS(questions.METHODS)} AS method, {_HAS(_COMMON)} AS common, {_PARAMETER} AS parameter, length(source) BETWEEN 4 AND 90 AS good_title,
+  doc_id || ' ' || source AS label, CASE WHEN length(t) <= 320 THEN t ELSE rtrim(substr(t, 1, 319), ' ') || '…' END AS excerpt FROM x WHERE t <> ''""")
+def question_signals(spark, sf_dir):
+    held = _question_records(spark, sf_dir)
+    return held.select(
+        "record_id", questions.has_word(questions.REQUIREMENTS).alias("requirement"), questions.has_word(questions.METHODS).alias("method"), questions.has_word(_COMMON).alias("common"), questions.has_parameter().alias("parameter"),
+        questions.good_title().alias("good_title"), questions.label().alias("label"), questions.excerpt(F.col("content")).alias("excerpt"),
+    )
+
+
+@query(f"""WITH {_RECORDS}, c AS (SELECT doc_id, lang, {_HAS(_COMMON)} AS a, length(t) > 900 AS b FROM x WHERE t <> ''),
+p AS (SELECT doc_id, lang, row_number() OVER (ORDER BY turn, lang, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM c WHERE a) QUALIFY place <= 20),
+s AS (SELECT doc_id, lang, row_number() OVER (ORDER BY turn, lang, doc_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM c WHERE b AND doc_id NOT IN (SELECT doc_id FROM p)) QUALIFY place <= 20)
+SELECT 1 AS pool, place::INT AS place, doc_id AS record_id, lang AS pdf FROM p UNION ALL SELECT 2, place::INT, doc_id, lang FROM s""")
+def question_picks(spark, sf_dir):
+    """A sampler of 20 and again 20 records from two pools, none twice, languages in turn."""
+    held = _question_records(spark, sf_dir)
+    first = questions.pick(held.where(questions.has_word(_COMMON)), 20, None)
+    second = questions.pick(held.where(F.length("content") > 900), 20, first)
+    show = lambda df, n: df.select(F.lit(n).alias("pool"), "place", "record_id", "pdf")
+    return show(first, 1).unionByName(show(second, 2))
+
+
 @query("SELECT doc_id, source, turn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source, doc_id LIMIT 50")
 def balanced_pick(spark, sf_dir):
     """A sampler of 50 documents, its sources in turn."""

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from ..functions import text as tx
 from ..operators import chunking
@@ -109,12 +108,12 @@ def evaluation_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, path: str) -> DataFrame:
-    """(id, answer) from JSON lines; the last of equal ids counts."""
+    """(id, answer) from JSON lines; the last of equal ids counts, a line without one fails the read."""
     names = ("id", "eval_id", "answer", "generated_answer")
     parsed = spark.read.json(path, T.StructType([T.StructField(n, T.StringType()) for n in names])).withColumn("_at", F.monotonically_increasing_id())
-    chosen = parsed.select(F.coalesce(F.nullif("id", F.lit("")), "eval_id").alias("id"), F.coalesce(F.nullif("answer", F.lit("")), "generated_answer", F.lit("")).alias("answer"), "_at")
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at")))
-    return chosen.where("id IS NOT NULL").withColumn("_n", last).where("_n = 1").select("id", "answer")
+    own = F.coalesce(F.nullif("id", F.lit("")), F.nullif("eval_id", F.lit("")), F.raise_error(F.lit("an answer has no id")))
+    chosen = parsed.select(own.alias("id"), F.coalesce(F.nullif("answer", F.lit("")), "generated_answer", F.lit("")).alias("answer"), "_at")
+    return chosen.groupBy("id").agg(F.max_by("answer", "_at").alias("answer"))
 
 
 def parse_env(text: str) -> dict[str, str]:
@@ -125,9 +124,9 @@ def parse_env(text: str) -> dict[str, str]:
         if not equals or line.startswith("#") or not key.strip():
             continue
         value = value.strip()
-        if value[:1] in "\"'" and value[:1] and (end := value.find(value[0], 1)) > 0:
-            value = value[1:end]
-        else:
-            value = value.split(" #", 1)[0].strip()
+        if value[:1] not in ("'", '"'):
+            value = value.split(" #", 1)[0].rstrip()
+        elif len(value) > 1 and value[-1] == value[0]:
+            value = value[1:-1]
         out[key.strip()] = value
     return out

@@ -25,8 +25,8 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """One object a row, keys in order of name."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+    """One object a row, keys in order of name, nulls written."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_items_csv(items: DataFrame, path: str) -> None:

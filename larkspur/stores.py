@@ -76,8 +76,15 @@ class TableVectors:
         return self.store.upsert(both)
 
     def search(self, queries: DataFrame, k: int, condition: Column | None = None) -> DataFrame:
-        """queries: query_id, vector."""
-        return cosine_top_k(self.store.read(), queries, k, condition).withColumn("source", F.lit("vector"))
+        """queries: query_id, vector. Ids that aren't whole numbers stand under their hashes meanwhile,
+        by which equal scores are ranked then."""
+        rows = self.store.read() if condition is None else self.store.read().where(condition)
+        sides = {"chunk_id": rows, "query_id": queries}
+        hashed = {c: df.withColumns({"own": F.col(c), c: F.xxhash64(c)}) for c, df in sides.items() if df.schema[c].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint")}
+        found = cosine_top_k(*(hashed.get(c, df).select(c, "vector") for c, df in sides.items()), k)
+        for c, df in hashed.items():
+            found = found.join(df.select(c, "own"), c).drop(c).withColumnRenamed("own", c)
+        return found.select("query_id", "chunk_id", "score", "rank").withColumn("source", F.lit("vector"))
 
 
 @dataclass(frozen=True)

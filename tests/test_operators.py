@@ -134,4 +134,4 @@ def test_readers(spark, tmp_path):
     found = sorted((r.path[-10:], r.line, r.error) for r in readers.json_line_files(spark, str(tmp_path)).collect())
     assert [(p[-8:], n, e) for p, n, e in found] == [("ad.jsonl", 2, "invalid_jsonl"), ("od.jsonl", 1, None), ("od.jsonl", 3, None)]
     assert readers.decode_bytes("热".encode("gb18030")) == "热"
-    assert readers.parse_env("export A='x y' # c\n#B=1\nC=2 # d") == {"A": "x y", "C": "2"}
+    assert readers.parse_env("export A='x y'\n#B=1\nC=2 # d\nD=\"q # r\"\nnone\n=x") == {"A": "x y", "C": "2", "D": "q # r"}
