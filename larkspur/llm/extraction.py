@@ -13,13 +13,16 @@ of another page of the host has the same tokens.
 A longer repeat is covered by its windows of MIN_TOKENS tokens, so the array needs no greater
 depth. That also lets the array of a large host be divided exactly: a window belongs to the shard
 that the least hash of its 4-grams chooses, which equal windows share, and neighbouring windows of
-one shard travel together; a short block belongs to a shard of blocks that its own hash chooses. A host above BIG_BYTES of HTML is sorted in shards of about that size,
-and the covered places return to its pages by a join; a smaller host is one task.
+one shard travel together as a stretch; a short block belongs to a shard of blocks that its own hash
+chooses. A host above BIG_BYTES of HTML is sorted in shards of about that size; a smaller host is one
+task. A footer that millions of pages have reaches its shard once a batch of pages, as its words and
+two of the pages; where it lies comes back by a join on the stretch, which splits skew.
 
 Defined results: null html is an empty page; a null or unreadable url has the host ""; rows with a
 null id are left out; rows that repeat an id are one page, so a repeat between them isn't one
-across pages; exact copies of a page on a host cover each other as wholes and leave empty texts;
-an empty table gives an empty result; other columns are ignored.
+across pages, but each keeps its own text; exact copies of a page on a host cover each other as
+wholes and leave empty texts; pages may be of any length; there are no ties, as all occurrences of a
+repeat go; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from ._shared import materialise
 from ._text import SLICE_BYTES, _BASE, _power_tables, mix
 
-MIN_TOKENS, BIG_BYTES, MOST_BROADCAST = 20, 16 << 20, 1_000_000
+MIN_TOKENS, BIG_BYTES, MOST_BROADCAST = 20, 16 << 20, 8 << 20
 _GRAM = 4
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<[^<>]*>")
@@ -105,14 +109,14 @@ def suffix_array(tokens: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.
     return order, same, stream[order]
 
 
-def covered(tokens: np.ndarray, first: np.ndarray, pages: np.ndarray, depth: int) -> np.ndarray:
-    """Which tokens lie in `depth` tokens that streams of two different pages hold."""
+def covered(tokens: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> np.ndarray:
+    """Which tokens lie in `depth` tokens that two different pages hold; low and high are the least and
+    the largest page of each stream."""
     out = np.zeros(len(tokens), bool)
     order, same, stream = suffix_array(tokens, first, depth)
     if len(order):
         heads = np.flatnonzero(~same)
-        owner = pages[stream]
-        twice = np.minimum.reduceat(owner, heads) < np.maximum.reduceat(owner, heads)
+        twice = np.minimum.reduceat(low[stream], heads) < np.maximum.reduceat(high[stream], heads)
         places = order[np.repeat(twice, np.diff(np.r_[heads, len(order)]))]
         edge = np.zeros(len(tokens) + 1, np.int64)
         np.add.at(edge, places, 1)
@@ -190,7 +194,8 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
             texts = [pack.compress(blocks(x).encode("utf-8", "replace")) for x in part.column("html").to_pylist()]
-            yield pa.record_batch([part.column("page_id"), part.column("host"), pa.array(texts, pa.binary())], names=["page_id", "host", "text"])
+            kept = [c for c in batch.schema.names if c != "html"]
+            yield pa.record_batch([*(part.column(c) for c in kept), pa.array(texts, pa.binary())], names=[*kept, "text"])
 
 
 def _texts(column) -> list[bytes]:
@@ -203,7 +208,7 @@ def _whole_host(depth: int):
         texts = _texts(table.column("text"))
         ids = table.column("page_id").to_numpy()
         tokens, first = token_hashes(texts)
-        drop = covered(tokens, first, ids, depth)
+        drop = covered(tokens, first, ids, ids, depth)
         starts, ends = short_blocks(texts, tokens, depth)
         twice = on_two_pages(block_hashes(tokens, starts, ends), ids[np.searchsorted(first, starts, "right") - 1])
         for a, b in zip(starts[twice].tolist(), ends[twice].tolist()):
@@ -213,70 +218,100 @@ def _whole_host(depth: int):
     return run
 
 
+def _stretches(part: pa.RecordBatch, depth: int) -> Iterator[tuple[int, str, int, int, bytes]]:
+    """Row, host, shard, first token and words of the stretches whose windows fall to one shard, and of
+    short blocks, whose shards are below 0."""
+    texts = _texts(part.column("text"))
+    tokens, first = token_hashes(texts)
+    starts, ends = short_blocks(texts, tokens, depth)
+    cold = np.searchsorted(starts, first)
+    hashes = block_hashes(tokens, starts, ends)
+    gram = tokens.copy()
+    for g in range(1, _GRAM):
+        gram[: len(tokens) - g] = gram[: len(tokens) - g] * _BASE + tokens[g:] if len(tokens) > g else gram[:0]
+    gram = mix(gram)
+    for d, (host, shards) in enumerate(zip(part.column("host").to_pylist(), part.column("shards").to_pylist())):
+        a, b = int(first[d]), int(first[d + 1])
+        words = texts[d].replace(b"\n", b" ").split(b" ")
+        for x, y, h in zip(*(v[cold[d] : cold[d + 1]].tolist() for v in (starts - a, ends - a, hashes))):
+            yield d, host, -1 - h % shards, x, b" ".join(words[x:y])
+        if b - a < depth:
+            continue
+        view = np.lib.stride_tricks.sliding_window_view(gram[a : b - _GRAM + 1], depth - _GRAM + 1)
+        shard = (view.min(1) % np.uint64(shards)).astype(np.int64)
+        cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield d, host, int(shard[x]), x, b" ".join(words[x : y + depth - 1])
+
+
+def _name(shard: int, words: bytes) -> int:
+    """A signed 64-bit hash of a stretch; blocks have other ones."""
+    found = xxhash.xxh3_64_intdigest(words, seed=int(shard < 0))
+    return found - (1 << 64) if found >> 63 else found
+
+
 def _divide(depth: int):
-    """Pages of large hosts to the stretches of tokens whose windows fall to one shard, and their
-    short blocks to shards below 0."""
+    """Pages of large hosts to the distinct stretches of a batch, with two of their pages, a row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
+            shards: dict[tuple[str, int], dict[int, list]] = {}
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                out: list[tuple[str, int, int, int, bytes]] = []
-                texts = [blocks(x).encode("utf-8", "replace") for x in part.column("html").to_pylist()]
-                tokens, first = token_hashes(texts)
-                starts, ends = short_blocks(texts, tokens, depth)
-                cold = np.searchsorted(starts, first)
-                hashes = block_hashes(tokens, starts, ends)
-                gram = tokens.copy()
-                for g in range(1, _GRAM):
-                    gram[: len(tokens) - g] = gram[: len(tokens) - g] * _BASE + tokens[g:] if len(tokens) > g else gram[:0]
-                gram = mix(gram)
-                for d, (page, host, shards) in enumerate(zip(*(part.column(c).to_pylist() for c in ("page_id", "host", "shards")))):
-                    a, b = int(first[d]), int(first[d + 1])
-                    words = texts[d].replace(b"\n", b" ").split(b" ")
-                    for x, y, h in zip(*(v[cold[d] : cold[d + 1]].tolist() for v in (starts - a, ends - a, hashes))):
-                        out.append((host, -1 - h % shards, page, x, b" ".join(words[x:y])))
-                    if b - a < depth:
-                        continue
-                    view = np.lib.stride_tricks.sliding_window_view(gram[a : b - _GRAM + 1], depth - _GRAM + 1)
-                    shard = (view.min(1) % np.uint64(shards)).astype(np.int64)
-                    cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
-                    out += [(host, int(shard[x]), page, x, b" ".join(words[x : y + depth - 1])) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                # stretches of one shard are compressed together, as they are short
-                keyed: dict[tuple[str, int], list] = {}
-                for host, shard, page, start, text in out:
-                    keyed.setdefault((host, shard), []).append((page, start, text))
-                keys = list(keyed)
-                yield pa.record_batch(
-                    [
-                        pa.array([k[0] for k in keys], pa.string()),
-                        pa.array([k[1] for k in keys], pa.int64()),
-                        pa.array([[x[0] for x in keyed[k]] for k in keys], pa.list_(pa.int64())),
-                        pa.array([[x[1] for x in keyed[k]] for k in keys], pa.list_(pa.int32())),
-                        pa.array([pack.compress(b"\n".join(x[2] for x in keyed[k])) for k in keys], pa.binary()),
-                    ],
-                    names=["host", "shard", "pages", "starts", "text"],
-                )
+                pages = part.column("page_id").to_pylist()
+                for d, host, shard, _, words in _stretches(part, depth):
+                    page = pages[d]
+                    held = shards.setdefault((host, shard), {}).setdefault(_name(shard, words), [page, page, words])
+                    held[0], held[1] = min(held[0], page), max(held[1], page)
+            keys = list(shards)
+            numbers = lambda f: pa.array([[f(n, v) for n, v in shards[k].items()] for k in keys], pa.list_(pa.int64()))
+            yield pa.record_batch(
+                [
+                    pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), numbers(lambda n, v: n), numbers(lambda n, v: v[0]), numbers(lambda n, v: v[1]),
+                    pa.array([pack.compress(b"\n".join(v[2] for v in shards[k].values())) for k in keys], pa.binary()),
+                ],
+                names=["host", "shard", "names", "lows", "highs", "text"],
+            )
+
+    return run
+
+
+def _places(depth: int):
+    """Where the stretches of each page lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                keys = part.column("key").to_pylist()
+                rows = [(host, _name(shard, words), keys[d], start) for d, host, shard, start, words in _stretches(part, depth)]
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["host", "name", "key", "start"])
 
     return run
 
 
 def _shard(depth: int):
+    """The stretches of a shard to those with repeats and where in them these lie."""
+
     def run(table: pa.Table) -> pa.Table:
-        texts = [t for x in _texts(table.column("text")) for t in x.split(b"\n")]
-        pages = np.array([p for x in table.column("pages").to_pylist() for p in x], np.int64)
-        starts = np.array([p for x in table.column("starts").to_pylist() for p in x], np.int64)
+        held: dict[int, list] = {}
+        for names, lows, highs, text in zip(*(table.column(c).to_pylist() for c in ("names", "lows", "highs")), _texts(table.column("text"))):
+            for name, low, high, words in zip(names, lows, highs, text.split(b"\n")):
+                own = held.setdefault(name, [low, high, words])
+                own[0], own[1] = min(own[0], low), max(own[1], high)
+        texts = [v[2] for v in held.values()]
+        low, high = (np.array([v[i] for v in held.values()], np.int64) for i in (0, 1))
         tokens, first = token_hashes(texts)
-        if table.column("shard")[0].as_py() < 0:
-            twice = on_two_pages(block_hashes(tokens, first[:-1], first[1:]), pages)
-            return pa.table({"page_id": pages[twice], "start": starts[twice].astype(np.int32), "stop": (starts + np.diff(first))[twice].astype(np.int32)})
-        drop = covered(tokens, first, pages, depth)
         stream = np.repeat(np.arange(len(texts)), np.diff(first))
-        begin = np.flatnonzero(drop & (np.r_[True, ~drop[:-1]] | np.r_[True, stream[1:] != stream[:-1]])) if len(drop) else np.zeros(0, np.int64)
-        end = np.flatnonzero(drop & (np.r_[~drop[1:], True] | np.r_[stream[1:] != stream[:-1], True])) if len(drop) else begin
-        at = starts[stream[begin]] - first[stream[begin]]
-        return pa.table({"page_id": pages[stream[begin]], "start": (begin + at).astype(np.int32), "stop": (end + 1 + at).astype(np.int32)})
+        drop = (low < high)[stream] if table.column("shard")[0].as_py() < 0 else covered(tokens, first, low, high, depth)
+        edge = np.r_[True, stream[1:] != stream[:-1], True]
+        begin = np.flatnonzero(drop & (edge[:-1] | ~np.r_[False, drop[:-1]])) if len(drop) else np.zeros(0, np.int64)
+        end = np.flatnonzero(drop & (edge[1:] | ~np.r_[drop[1:], False])) + 1 if len(drop) else begin
+        own = stream[begin]
+        names = np.array(list(held), np.int64)
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(own), pa.string()), "name": names[own], "begin": (begin - first[own]).astype(np.int32), "end": (end - first[own]).astype(np.int32)})
 
     return run
 
@@ -300,19 +335,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), F.col(html_col).alias("html")).where("page_id IS NOT NULL")
     sizes = pages.groupBy("host").agg(F.sum(F.length("html")).alias("bytes")).where(F.col("bytes") > big_bytes)
     big = materialise(sizes.select("host", F.ceil(F.col("bytes") / big_bytes).cast("int").alias("shards")), "large-hosts")
-    # A host is large at BIG_BYTES, so these are few; if they aren't, both sides are shuffled.
-    big = big.hint("broadcast" if big.count() <= MOST_BROADCAST else "merge")
-    packed = "page_id long, host string, text binary"
-    small = pages.join(big, "host", "left_anti").mapInArrow(_compress, packed)
+    # A host is large at BIG_BYTES, so their names are few bytes; if they aren't, both sides are shuffled.
+    size = big.agg(F.sum(F.length("host") * 4 + 16)).first()[0] or 0
+    big = big.hint("broadcast" if size <= MOST_BROADCAST else "merge")
+    small = pages.join(big, "host", "left_anti").select("page_id", "host", "html").mapInArrow(_compress, "page_id long, host string, text binary")
     direct = small.groupBy("host").applyInArrow(_whole_host(min_tokens), _OUT)
-    large = pages.join(big, "host")
-    pieces = large.mapInArrow(_divide(min_tokens), "host string, shard long, pages array<long>, starts array<int>, text binary")
-    spans = (
-        pieces.groupBy("host", "shard").applyInArrow(_shard(min_tokens), "page_id long, start int, stop int")
-        .groupBy("page_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    )
-    texts = large.select("page_id", "host", "html").mapInArrow(_compress, packed)
-    returned = texts.join(spans.hint("merge"), "page_id", "left").select("page_id", "host", "text", "spans").mapInArrow(_remove, _OUT)
+    keyed = pages.join(big, "host").select("page_id", "host", F.xxhash64("page_id", "host", "html").alias("key"), "shards", "html")
+    large = materialise(keyed.mapInArrow(_compress, "page_id long, host string, key long, shards int, text binary"), "large-pages")
+    pieces = large.mapInArrow(_divide(min_tokens), "host string, shard long, names array<long>, lows array<long>, highs array<long>, text binary")
+    shared = pieces.groupBy("host", "shard").applyInArrow(_shard(min_tokens), "host string, name long, begin int, end int")
+    places = large.mapInArrow(_places(min_tokens), "host string, name long, key long, start int")
+    found = places.join(shared.hint("merge"), ["host", "name"]).select("key", (F.col("start") + F.col("begin")).alias("start"), (F.col("start") + F.col("end")).alias("stop"))
+    spans = found.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    returned = large.join(spans.hint("merge"), "key", "left").select("page_id", "host", "text", "spans").mapInArrow(_remove, _OUT)
     return direct.unionByName(returned)
 
 
