@@ -284,10 +284,11 @@ def repeated_paths(docs: DataFrame, length: int = LENGTH, m: int = MINIMISER, pa
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, min(MOST_PARTS, -(-chars // part_chars)))
     narrow = docs.select("doc_id", "text")
-    pieces = narrow.mapInArrow(_graph(length, m, parts), _BLOCKS).repartitionById(parts, F.col("pid")).mapInArrow(_compact(branching), _PIECES)
+    # pieces and paths are written, so that the passes over the texts come one after another
+    pieces = materialise(narrow.mapInArrow(_graph(length, m, parts), _BLOCKS).repartitionById(parts, F.col("pid")).mapInArrow(_compact(branching), _PIECES), "repeat-pieces")
     where = docs.mapInArrow(_occurrences(length, m), "stretch long, doc_id long, key long, start int").join(pieces.hint("merge"), "stretch").select("doc_id", "key", "start", F.explode("pieces").alias("p"))
     placed = where.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct((F.col("start") + F.col("p.at")).alias("start"), "p.n", "p.opens", "p.edge"))).alias("pieces"))
-    paths = placed.mapInArrow(_glue, "doc_id long, key long, paths array<struct<start:int,n:int,edge:long>>")
+    paths = materialise(placed.mapInArrow(_glue, "doc_id long, key long, paths array<struct<start:int,n:int,edge:long>>"), "repeat-glued")
     return docs.join(paths.hint("merge"), ["doc_id", "key"]).mapInArrow(_read(length), "doc_id long, key long, start int, n int, edge long, check binary")
 
 
