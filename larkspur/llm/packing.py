@@ -10,8 +10,9 @@ The rule is sequential, so documents are divided by hash into shards of about SH
 that are packed apart: the number of shards grows with the corpus and each leaves only its own few
 sequences open at the end.
 
-Defined results: a document without tokens (null or empty text) is in no sequence; repeated rows
-are packed each; equal documents are taken in order of id; an empty table gives an empty result;
+Defined results: a document without tokens (null or empty text) is in no sequence; texts may be of
+any length; repeated rows are packed each; documents are taken in order of id, then of size, rows
+equal in both are alike; a null id is packed as any other; an empty table gives an empty result;
 other columns are ignored.
 """
 

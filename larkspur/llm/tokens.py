@@ -12,8 +12,9 @@ protocol, says which files count, so that repeated and lost tasks do no harm.
 
 Defined results: a null or empty text is a document of no tokens; text that spells a special token
 is ordinary text; tokens behind the last separator of a file are a document without end, marked
-closed = false; an empty file has no documents; repeated rows are documents of their own; other
-columns are ignored.
+closed = false; an empty file has no documents; texts may be of any length; repeated rows are
+documents of their own, in the order in which a task reads them, so that there are no ties; an empty
+table makes no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -46,6 +48,8 @@ _TEXT_SLICE = 8 << 20
 def encoder(path: str):
     import tiktoken
 
+    if not os.path.exists(path):  # sent with SparkContext.addFile
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

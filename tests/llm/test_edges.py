@@ -117,6 +117,20 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], layout)).count() == 0
 
 
+def test_rows_that_share_a_page_id_keep_their_own_text(spark):
+    foot = " ".join(f"f{i}" for i in range(25))
+    rows = [(1, "http://a.org/1", f"<p>one</p><p>{foot}</p>"), (1, "http://a.org/1", f"<p>another text</p><p>{foot}</p>"), (2, "http://a.org/2", f"<p>two</p><p>{foot}</p>")]
+    for big in (1 << 30, 10):
+        found = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), big_bytes=big).collect()
+        assert sorted((r.page_id, r.text) for r in found) == [(1, "another text"), (1, "one"), (2, "two")]
+
+
+def test_a_very_long_page(spark):
+    rows = [(1, "http://a.org/1", "<p>" + LONG + "</p>"), (2, "http://a.org/2", "<p>short</p><p>" + " ".join(LONG.split()[:30]) + "</p>")]
+    found = {r.page_id: (r.n_tokens, r.n_removed) for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), big_bytes=1000).collect()}
+    assert found == {1: (60_000, 30), 2: (31, 30)}
+
+
 @pytest.mark.parametrize("big", [1 << 30, 200])
 def test_extraction(spark, big):
     layout = "page_id long, url string, html string, host string, text string, shards int, bytes long"
