@@ -3,6 +3,9 @@
 Each stage reads what its predecessor wrote. The first four return the columns of documents; the
 last says which sequence holds which piece of which document. Labels and the texts that they speak
 of come from the tables, as earlier stages remove most documents with a bad label.
+
+All stages take texts of any length and tables without rows, keep columns of any name, and settle ties
+by id; what they do with nulls and repeated rows stands with each.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the least doc_id; texts without words are in no
-    group, rows with a null id all stay, of repeated rows of an id one stays."""
+    group, rows with a null id all stay, of rows with the same id and text one stays; rows that share
+    an id but not their text are documents of their own."""
     return near.without_near_copies(docs)
 
 
@@ -35,8 +39,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates for the target weights of domains ask for; null or empty
-    texts have a rate near 1, rows with a null id stay once."""
+    """Documents as often as the rates for the target weights of domains ask for: those that look low
+    or toxic go, clean ones may come twice; null or empty texts have a rate near 1, rows with a null id
+    stay once."""
     return mixing.resample(docs, _table(spark, sf_dir, "labels"), label_docs=_table(spark, sf_dir, "documents"))
 
 

@@ -64,19 +64,6 @@ def json_line_files(spark: SparkSession, path: str) -> DataFrame:
     return text_files(spark, path).mapInArrow(_parsed, "path string, line long, record string, error string")
 
 
-@F.pandas_udf(T.StringType())
-def pretty_json(texts):
-    """JSON with an indent of two, characters outside ASCII as they are; null if it isn't JSON."""
-
-    def one(x):
-        try:
-            return json.dumps(json.loads(x), ensure_ascii=False, indent=2)
-        except (TypeError, ValueError):
-            return None
-
-    return texts.map(one)
-
-
 @F.pandas_udf(T.StringType())
 def unescape_all(texts):
     """All HTML entities, where those of functions.text don't do."""

@@ -25,6 +25,16 @@ def test_text_functions(spark):
     assert one(spark, None, tx.bm25_tokens) == []
 
 
+def test_trigrams_of_characters(spark):
+    grams = one(spark, "卫星热控方案", lambda t: tx.bm25_tokens(t, 3))
+    assert {"卫星", "热控", "方案", "卫星热", "星热控", "热控方", "控方案"} <= set(grams)
+    assert not {"卫星热", "控方案"} & set(one(spark, "卫星热控方案", tx.bm25_tokens))
+    docs = spark.createDataFrame([(1, "航天器采用温度控制系统确保设备正常工作"), (2, "thermal control design")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "温度控制方法")], "query_id long, query string")
+    two, three = (lexical.bm25(docs, asked, 5, ngrams=n).collect() for n in (2, 3))
+    assert [r.chunk_id for r in two] == [r.chunk_id for r in three] == [1] and three[0].score > two[0].score
+
+
 def test_bm25_matches_plain_python(spark):
     texts = {1: "alpha beta beta", 2: "beta gamma", 3: "delta", 4: None}
     docs = spark.createDataFrame(list(texts.items()), "chunk_id long, content string")
