@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from ..config import Config
 from ..functions import text as tx
-from ..operators import catalog, chunking, evaluate, expand, manifest, questions
+from ..operators import catalog, chunking, clauses, evaluate, expand, manifest, questions
 from ..operators.dense import cosine_top_k, hash_embedding
 from ..operators.fusion import blended_rerank, identity_rerank, lexical_rerank, rrf
 from ..operators.lexical import bm25, document_frequencies, document_lengths
@@ -340,6 +340,36 @@ def sentences_and_terms(spark, sf_dir):
     )
 
 
+_LINE_OF = lambda x: _strip(rf"regexp_replace(translate(translate({_unescaped(x)}, '{clauses._FROM}', '{clauses._TO}'), '{clauses._BLANKS}' || chr(173), '{' ' * len(clauses._BLANKS)}'), '[ \t]+', ' ', 'g')")
+_LINES = f"list_filter(list_transform(regexp_split_to_array(text, '{tx.LINE_END}'), lambda x: {_LINE_OF('x')}), lambda x: x <> '' AND NOT regexp_matches(x, '^\\d{{1,4}}$'))"
+
+
+def _as_pages(spark, sf_dir) -> DataFrame:
+    """Documents as the pages of their sources, with a list of contents every 50 pages."""
+    listed = F.concat(F.lit("Contents\nFirst part .... 3\nSecond part .... 9\nThird part 12\n"), F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 50 == 0, listed).otherwise(F.col("text")).alias("text"))
+
+
+_PAGES = f"""pg AS (SELECT source AS doc_id, doc_id AS page, CASE WHEN doc_id % 50 = 0 THEN 'Contents' || chr(10) || 'First part .... 3' || chr(10) || 'Second part .... 9' || chr(10) || 'Third part 12' || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents),
+ln AS (SELECT doc_id, page, {_LINES} AS l FROM pg)"""
+
+
+@query(f"""WITH {_PAGES}, e AS (SELECT doc_id, unnest(l[1:{clauses.EDGE}] || l[greatest(len(l) - {clauses.EDGE - 1}, 1):len(l)]) AS line FROM ln),
+k AS (SELECT doc_id, line, count(*) AS n FROM e WHERE length(line) >= 4 AND NOT regexp_matches(line, '{clauses.TOC}') AND (regexp_matches(line, '{clauses.MARKS}') OR (length(line) <= 80 AND substr(line, -1) NOT IN ('.', '!', '?', ';', ':'))) GROUP BY ALL),
+z AS (SELECT doc_id, greatest(floor(count(*) * {clauses.SHARE}), 3) AS least FROM pg GROUP BY doc_id)
+SELECT doc_id, line, n FROM k JOIN z USING (doc_id) WHERE n >= least""")
+def edge_lines(spark, sf_dir):
+    return clauses.edge_lines(_as_pages(spark, sf_dir))
+
+
+@query(rf"""WITH {_PAGES}, c AS (SELECT doc_id, page, len(list_filter(l, lambda x: regexp_matches(x, '{clauses.TOC}') OR (regexp_extract(x, ' (\d{{1,3}})$', 1) <> '' AND TRY_CAST(regexp_extract(x, ' (\d{{1,3}})$', 1) AS INT) <> page)))::INT AS n, len(l) AS size,
+  len(list_filter(l, lambda x: lower(x) IN ('contents', 'table of contents'))) > 0 AS named FROM ln)
+SELECT doc_id, page, n FROM c WHERE n >= 3 AND (named OR n / size >= 0.12)""")
+def toc_pages(spark, sf_dir):
+    return clauses.toc_pages(_as_pages(spark, sf_dir))
+
+
 # --- catalogue ------------------------------------------------------------------------------------
 
 _PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', '')"

@@ -98,6 +98,16 @@ def test_clause_helpers():
     assert clauses.clean_page("Head\n12\nA line that goes on and on and\nends here.", frozenset(["Head"])) == "A line that goes on and on and ends here."
 
 
+def test_edges_and_contents_as_in_plain_python(spark):
+    texts = ["Report ECSS-1\n12\nBody &amp; more.\nFoot—note", "Report ECSS-1\nContents\nOne .... 3\nTwo ..... 4\nThree 9\nFoot—note", "Report ECSS-1\nMore text here.\nFoot—note", "Foot—note", None, ""]
+    rows = [("d", i + 1, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id string, page int, text string")
+    found = {r.line for r in clauses.edge_lines(frame).collect()}
+    assert found == set(clauses.repeated_edges([(p, t or "") for _, p, t in rows])) == {"Report ECSS-1", "Foot-note"}
+    lines = [clauses.Line(p, x) for _, p, t in rows for x in map(clauses.clean_line, (t or "").splitlines()) if clauses.is_content(x)]
+    assert {r.page for r in clauses.toc_pages(frame).collect()} == clauses.contents_pages(lines) == {2}
+
+
 # --- stores and search ---------------------------------------------------------------------------
 
 TEXTS = {"r1": "acceptance stage verification stage free of workmanship defects", "r2": "battery activation test guidance", "r3": "thermal control of the battery", "r4": " "}
