@@ -1,7 +1,7 @@
 """Personal data and secrets found by a semi-Markov conditional random field.
 
 Candidate segments are spans of up to MAX_TOKENS tokens of any length, and unbroken runs of the
-characters of keys, of any number of tokens; a span is scored as a whole (its shape,
+characters of keys that look like one, of any number of tokens, which are candidates as wholes only; a span is scored as a whole (its shape,
 check sums, separators, what touches it and the words before it) for each type, every other token
 stands alone as "other", and a dynamic programme over the segments finds the division with the
 largest sum, so that boundaries and types are chosen together. Weights are fitted by maximum
@@ -39,7 +39,7 @@ MAX_TOKENS, LETTERS, SEQUENCES, STEPS = 16, 24, 300, 60
 KINDS = ["EMAIL", "PHONE", "IP", "CARD", "SECRET", "ID"]
 
 _TOKEN = re.compile(r"[^\W_]+|_|[^\w\s]")
-_HOT_TEXT = rf"[0-9@]|[A-Za-z]{{{LETTERS}}}"
+_HOT_TEXT = rf"[0-9@]|(?<![A-Za-z])[A-Za-z]{{{LETTERS}}}"
 _HOT = re.compile(_HOT_TEXT)
 _RUN = re.compile(r"[A-Za-z0-9_+/~-][A-Za-z0-9_+/.~-]{14,}[A-Za-z0-9_+/~-]={0,2}")
 _SPACE = re.compile(r"\s")
@@ -159,13 +159,13 @@ def _group(token: str) -> bool:
 
 
 def _key_runs(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters that look like keys and have more tokens than a span may have."""
-    if len(tokens) <= MAX_TOKENS:
+    """Runs of key characters that look like keys and have several tokens, of any number."""
+    if len(tokens) < 2:
         return []
     out, starts, ends = [], {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
     for m in _RUN.finditer(text, tokens[0][0], tokens[-1][1]):
         i, j = starts.get(m.start()), ends.get(m.end())
-        if i is not None and j is not None and j - i > MAX_TOKENS and _key_like(m.group()):
+        if i is not None and j is not None and j - i > 1 and len(m.group()) >= LETTERS and _key_like(m.group()):
             out.append((i, j))
     return out
 
@@ -173,7 +173,7 @@ def _key_runs(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]
 def segments(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Candidate spans: first token and the one behind the last."""
     out = _key_runs(text, tokens)
-    inside = [False] * len(tokens)  # a long run is one candidate, its parts are none
+    inside = [False] * len(tokens)  # such a run is one candidate, its parts are none
     for i, j in out:
         inside[i:j] = [True] * (j - i)
     hot = [bool(_HOT.search(text, a, b)) for a, b in tokens]
@@ -373,7 +373,8 @@ def decode(text: str, weights: list[list[float]]) -> list[tuple[int, int, str]]:
         for i, j in segments(text, tokens):
             on = features(text, tokens[i][0], tokens[j - 1][1], j - i)
             score, kind = max((sum(w[f] for f in on), k) for k, w in enumerate(weights[1:]))
-            score += alone * max(0, j - i - MAX_TOKENS)  # a longer run counts as one of MAX_TOKENS
+            if j - i > MAX_TOKENS:  # longer than any sequence of the fit: the run counts as one token
+                score += alone * (j - i - 1)
             by_end.setdefault(j, []).append((i, score, kind))
         best, back = [0.0], [None]
         for t in range(1, len(tokens) + 1):
@@ -421,7 +422,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
             ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             yield pa.record_batch([ids, pa.array(entities, kind), pa.array(texts, pa.string())], names=["doc_id", "entities", "text"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(_HOT_TEXT))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]") | F.col("text").rlike(_HOT_TEXT.partition("|")[2]))
     return texts.mapInArrow(run, "doc_id long, entities array<struct<start:int,stop:int,kind:string>>, text string")
 
 
