@@ -93,7 +93,7 @@ def _graph(length: int, m: int, parts: int):
         key, name, ids, sides, counts, nodes = (np.concatenate(x) for x in zip(*some))
         starts = np.cumsum(counts) - counts
         own, low, high = _once(name, ids, ids)
-        pid = parts_of(key[own], parts)
+        pid = parts_of(mix(key[own]), parts)  # least hashes are small, so they are mixed again
         order = np.argsort(pid, kind="stable")
         own, low, high, pid = own[order], low[order], high[order], pid[order]
         at = runs_at(pid)
