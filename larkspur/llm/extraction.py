@@ -14,9 +14,9 @@ A longer repeat is covered by its windows of MIN_TOKENS tokens, so the array nee
 depth. That also lets the array of a large host be divided exactly: a window belongs to the shard
 that the least hash of its 4-grams chooses, which equal windows share, and neighbouring windows of
 one shard travel together as a stretch; a short block belongs to a shard of blocks that its own hash
-chooses. A host above BIG_BYTES of HTML is sorted in shards of about that size; a smaller host is one
-task. A footer that millions of pages have reaches its shard once a batch of pages, as its words and
-two of the pages; where it lies comes back by a join on the stretch, which splits skew.
+chooses. A host above BIG_BYTES of HTML is sorted in shards of about that size, and the covered
+places return to its pages by a join; a smaller host is one task. Stretches with the same words, as
+those of a footer, go to their shard once a batch of pages, with the places where they lie.
 
 Defined results: null html is an empty page; a null or unreadable url has the host ""; rows with a
 null id are left out; rows that repeat an id are one page, so a repeat between them isn't one
@@ -33,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,74 +243,56 @@ def _stretches(part: pa.RecordBatch, depth: int) -> Iterator[tuple[int, str, int
             yield d, host, int(shard[x]), x, b" ".join(words[x : y + depth - 1])
 
 
-def _name(shard: int, words: bytes) -> int:
-    """A signed 64-bit hash of a stretch; blocks have other ones."""
-    found = xxhash.xxh3_64_intdigest(words, seed=int(shard < 0))
-    return found - (1 << 64) if found >> 63 else found
+_PIECES = "host string, shard long, counts array<int>, pages array<long>, rows array<int>, starts array<int>, text binary"
 
 
 def _divide(depth: int):
-    """Pages of large hosts to the distinct stretches of a batch, with two of their pages, a row for each shard."""
+    """Pages of large hosts to the distinct stretches of a batch and their places, a row for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            shards: dict[tuple[str, int], dict[int, list]] = {}
+            shards: dict[tuple[str, int], dict[bytes, list]] = {}
+            pages, rows = (batch.column(c).to_pylist() for c in ("page_id", "row"))
             for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                pages = part.column("page_id").to_pylist()
-                for d, host, shard, _, words in _stretches(part, depth):
-                    page = pages[d]
-                    held = shards.setdefault((host, shard), {}).setdefault(_name(shard, words), [page, page, words])
-                    held[0], held[1] = min(held[0], page), max(held[1], page)
+                for d, host, shard, start, words in _stretches(batch.slice(s, 256), depth):
+                    shards.setdefault((host, shard), {}).setdefault(words, []).append((pages[s + d], rows[s + d], start))
             keys = list(shards)
-            numbers = lambda f: pa.array([[f(n, v) for n, v in shards[k].items()] for k in keys], pa.list_(pa.int64()))
-            yield pa.record_batch(
-                [
-                    pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), numbers(lambda n, v: n), numbers(lambda n, v: v[0]), numbers(lambda n, v: v[1]),
-                    pa.array([pack.compress(b"\n".join(v[2] for v in shards[k].values())) for k in keys], pa.binary()),
-                ],
-                names=["host", "shard", "names", "lows", "highs", "text"],
-            )
-
-    return run
-
-
-def _places(depth: int):
-    """Where the stretches of each page lie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                keys = part.column("key").to_pylist()
-                rows = [(host, _name(shard, words), keys[d], start) for d, host, shard, start, words in _stretches(part, depth)]
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["host", "name", "key", "start"])
+            flat = lambda i, kind: pa.array([[x[i] for v in shards[k].values() for x in v] for k in keys], pa.list_(kind))
+            columns = [
+                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([[len(v) for v in shards[k].values()] for k in keys], pa.list_(pa.int32())),
+                flat(0, pa.int64()), flat(1, pa.int32()), flat(2, pa.int32()), pa.array([pack.compress(b"\n".join(shards[k])) for k in keys], pa.binary()),
+            ]
+            yield pa.record_batch(columns, names=[c.split()[0] for c in _PIECES.split(", ")])
 
     return run
 
 
 def _shard(depth: int):
-    """The stretches of a shard to those with repeats and where in them these lie."""
+    """The stretches of a shard to the covered places of pages."""
 
     def run(table: pa.Table) -> pa.Table:
-        held: dict[int, list] = {}
-        for names, lows, highs, text in zip(*(table.column(c).to_pylist() for c in ("names", "lows", "highs")), _texts(table.column("text"))):
-            for name, low, high, words in zip(names, lows, highs, text.split(b"\n")):
-                own = held.setdefault(name, [low, high, words])
-                own[0], own[1] = min(own[0], low), max(own[1], high)
-        texts = [v[2] for v in held.values()]
-        low, high = (np.array([v[i] for v in held.values()], np.int64) for i in (0, 1))
-        tokens, first = token_hashes(texts)
-        stream = np.repeat(np.arange(len(texts)), np.diff(first))
+        held: dict[bytes, int] = {}
+        kind = np.array([held.setdefault(w, len(held)) for x in _texts(table.column("text")) for w in x.split(b"\n")], np.int64)
+        counts, pages, rows, starts = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("counts", "pages", "rows", "starts"))
+        of = np.repeat(kind, counts)  # the words of each place
+        low, high = np.full(len(held), np.iinfo(np.int64).max), np.full(len(held), np.iinfo(np.int64).min)
+        np.minimum.at(low, of, pages)
+        np.maximum.at(high, of, pages)
+        tokens, first = token_hashes(list(held))
+        stream = np.repeat(np.arange(len(held)), np.diff(first))
         drop = (low < high)[stream] if table.column("shard")[0].as_py() < 0 else covered(tokens, first, low, high, depth)
         edge = np.r_[True, stream[1:] != stream[:-1], True]
         begin = np.flatnonzero(drop & (edge[:-1] | ~np.r_[False, drop[:-1]])) if len(drop) else np.zeros(0, np.int64)
         end = np.flatnonzero(drop & (edge[1:] | ~np.r_[drop[1:], False])) + 1 if len(drop) else begin
         own = stream[begin]
-        names = np.array(list(held), np.int64)
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(own), pa.string()), "name": names[own], "begin": (begin - first[own]).astype(np.int32), "end": (end - first[own]).astype(np.int32)})
+        # every place of a stretch has all of its covered runs
+        many = np.bincount(own, minlength=len(held))[of]
+        place = np.repeat(np.arange(len(of)), many)
+        heads = np.searchsorted(own, of)
+        run_ = np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(heads, many)
+        at = starts[place] - first[of[place]]
+        return pa.table({"page_id": pages[place], "row": rows[place], "start": (begin[run_] + at).astype(np.int32), "stop": (end[run_] + at).astype(np.int32)})
 
     return run
 
@@ -340,14 +321,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     big = big.hint("broadcast" if size <= MOST_BROADCAST else "merge")
     small = pages.join(big, "host", "left_anti").select("page_id", "host", "html").mapInArrow(_compress, "page_id long, host string, text binary")
     direct = small.groupBy("host").applyInArrow(_whole_host(min_tokens), _OUT)
-    keyed = pages.join(big, "host").select("page_id", "host", F.xxhash64("page_id", "host", "html").alias("key"), "shards", "html")
-    large = materialise(keyed.mapInArrow(_compress, "page_id long, host string, key long, shards int, text binary"), "large-pages")
-    pieces = large.mapInArrow(_divide(min_tokens), "host string, shard long, names array<long>, lows array<long>, highs array<long>, text binary")
-    shared = pieces.groupBy("host", "shard").applyInArrow(_shard(min_tokens), "host string, name long, begin int, end int")
-    places = large.mapInArrow(_places(min_tokens), "host string, name long, key long, start int")
-    found = places.join(shared.hint("merge"), ["host", "name"]).select("key", (F.col("start") + F.col("begin")).alias("start"), (F.col("start") + F.col("end")).alias("stop"))
-    spans = found.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    returned = large.join(spans.hint("merge"), "key", "left").select("page_id", "host", "text", "spans").mapInArrow(_remove, _OUT)
+    # rows that share a page_id are told apart by a hash of their text
+    large = pages.join(big, "host").select("page_id", "host", F.hash("host", "html").alias("row"), "shards", "html")
+    packed = large.mapInArrow(_compress, "page_id long, host string, row int, shards int, text binary")
+    spans = (
+        packed.mapInArrow(_divide(min_tokens), _PIECES).groupBy("host", "shard").applyInArrow(_shard(min_tokens), "page_id long, row int, start int, stop int")
+        .groupBy("page_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    )
+    texts = packed.select("page_id", "host", "row", "text")
+    returned = texts.join(spans.hint("merge"), ["page_id", "row"], "left").select("page_id", "host", "text", "spans").mapInArrow(_remove, _OUT)
     return direct.unionByName(returned)
 
 
