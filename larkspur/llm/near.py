@@ -49,6 +49,8 @@ NGRAM, THRESHOLD, BITS, LEAF, FAN, HOT = 5, 0.6, 1024, 16, 8, 16
 #: N-grams of a chunk, characters of text a partition of n-grams (more where that would make over
 #: MOST_PARTS: there executors need memory for larger ones), bytes of n-grams a node.
 CHUNK_GRAMS, PART_CHARS, MOST_PARTS, NODE_BYTES = 750_000, 8 << 20, 100_000, 16 << 20
+#: Rows of a tile of pairs, and products that cost as much as one n-gram of a pair verified alone.
+TILE, DENSE = 1 << 11, 500
 
 _BLOCKS = "kind byte, pid int, sids binary, sizes binary, place binary, grams binary, level binary, hot binary"
 _GRAMS, _SETTLED, _MEMBERS = 0, 1, 2
@@ -333,32 +335,34 @@ def _in_both(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, width:
     return out
 
 
-def _overlaps(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The same by products of dense indicator tiles, for many pairs of few rows."""
-    rows = np.unique(np.r_[i, j])
-    i, j = np.searchsorted(rows, i), np.searchsorted(rows, j)
-    row = np.repeat(np.arange(len(rows)), lengths[rows])
-    _, column, often = np.unique(values[spread(starts[rows], lengths[rows])], return_inverse=True, return_counts=True)
-    shared = often[column] > 1
-    row, column = row[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
+def _overlaps(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, width: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same, where many pairs are of few rows by products of dense indicator tiles. A product
+    costs its rows times its columns however few the pairs are, so that a tile whose pairs cost less
+    one by one is left to _in_both."""
     out = np.zeros(len(i), np.int64)
-    width, step, most = int(column.max()) + 1 if len(column) else 0, 4096, 1 << 11
-    for c in range(0, width, step):
-        inside = (column >= c) & (column < c + step)
-
-        def tile(r: int) -> np.ndarray:
-            own = inside & (row >= r) & (row < r + most)
-            full = np.zeros((min(most, len(rows) - r), step), np.float32)
-            full[row[own] - r, column[own] - c] = 1
-            return full
-
-        for r in range(0, len(rows), most):
-            left = tile(r)
-            for q in range(0, len(rows), most):
-                pick = np.flatnonzero((i >= r) & (i < r + most) & (j >= q) & (j < q + most))
-                if len(pick):
-                    out[pick] += (left @ tile(q).T)[i[pick] - r, j[pick] - q].astype(np.int64)
+    tile = (i // TILE << 32) + j // TILE
+    order = np.argsort(tile, kind="stable")
+    for p in np.split(order, runs_at(tile[order])[1:]):
+        (x, at_x), (y, at_y) = np.unique(i[p], return_inverse=True), np.unique(j[p], return_inverse=True)
+        work = int((lengths[i[p]] + lengths[j[p]]).sum())
+        columns = np.zeros(0, values.dtype)
+        dense = work > 2 * int(lengths[x].sum() + lengths[y].sum())
+        if dense:
+            own = [values[spread(starts[r], lengths[r])] for r in (x, y)]
+            columns = np.intersect1d(*own)
+            dense = len(x) * len(y) * len(columns) <= DENSE * work
+        if not dense:
+            out[p] = _in_both(starts, lengths, values, width, i[p], j[p])
+            continue
+        for c in range(0, len(columns), 4096):
+            part, sides = columns[c : c + 4096], []
+            for r, v in zip((x, y), own):
+                place = np.minimum(np.searchsorted(part, v), len(part) - 1)
+                found = part[place] == v
+                full = np.zeros((len(r), len(part)), np.float32)
+                full[np.repeat(np.arange(len(r)), lengths[r])[found], place[found]] = 1
+                sides.append(full)
+            out[p] += (sides[0] @ sides[1].T)[at_x, at_y].astype(np.int64)
     return out
 
 
@@ -409,7 +413,7 @@ def _links(threshold: float, most_pairs: int = 1 << 20):
             overlap = np.zeros(len(i), np.int64)
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(i)]):
                 if b - a > 256:
-                    overlap[a:b] = _overlaps(starts, lengths, values, i[a:b], j[a:b])
+                    overlap[a:b] = _overlaps(starts, lengths, values, len(kinds), i[a:b], j[a:b])
                     dense[a:b] = True
             rest = np.flatnonzero(~dense)
             overlap[rest] = _in_both(starts, lengths, values, len(kinds), i[rest], j[rest])
@@ -420,6 +424,8 @@ def _links(threshold: float, most_pairs: int = 1 << 20):
             up = np.flatnonzero(root != np.arange(n)), root[root != np.arange(n)]
 
         a, b = SignatureTree(bucket, size, lengths, maps).pairs(threshold)
+        order = np.lexsort((b, a, b * LEAF // TILE, a * LEAF // TILE))  # what is verified together is of few rows
+        a, b = a[order], b[order]
         own = np.bitwise_count(maps).sum(1)
         step = np.arange(LEAF * LEAF)
         some, count = [], 0

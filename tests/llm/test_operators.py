@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from math import comb
 
 import numpy as np
@@ -581,3 +582,29 @@ def test_training_sample_is_bounded(spark):
     from pyspark.sql import functions as F
 
     assert classify.train(docs, labels, F.col("quality"), 2, sample=10).shape == (2, classify.WIDTH)
+
+
+def test_few_pairs_of_many_sets_in_one_bucket():
+    """Pairs spread over a large bucket cost what they are, not the bucket's sets squared times its n-grams."""
+    rng, n, size = np.random.default_rng(3), 6000, 60
+    grams = rng.integers(1, 1 << 62, (n, size)).astype(np.uint64)
+    grams[n // 2 :, :50] = grams[: n // 2, :50]  # row i and row i + n / 2 are partners: 50 of 70
+    grams.sort(axis=1)
+    maps = near._bitmaps(np.repeat(np.arange(n), size), grams.ravel(), n, near.BITS)
+    rows = {"bucket": [7] * n, "sid": range(n), "size": np.full(n, size, np.int32), "m": [1] * n, "earlier": pa.array([[]] * n, pa.list_(pa.int64())), "unit": [0] * n, "side": [0] * n, "grams": [g.tobytes() for g in grams], "bitmap": [m.tobytes() for m in maps]}
+    began = time.process_time()
+    found = pa.Table.from_batches(near._links(0.6)(iter(pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in rows.items()}).to_batches())))
+    assert time.process_time() - began < 20
+    assert found.column("sid").to_pylist() == [*range(n)] and set(found.column("links").to_pylist()) == {1}
+    assert found.column("root").to_pylist() == [*range(n // 2)] * 2
+
+
+def test_overlaps_of_pairs():
+    rng = np.random.default_rng(4)
+    for n, width in ((40, 90), (5000, 9000)):  # tiles, and pair by pair
+        sets = [np.sort(rng.choice(width, rng.integers(1, 60), replace=False)) for _ in range(n)]
+        lengths = np.array([len(s) for s in sets])
+        i, j = np.sort(rng.integers(0, n, (2, 6000)), axis=0)
+        i, j = i[i < j], j[i < j]
+        found = near._overlaps(np.cumsum(lengths) - lengths, lengths, np.concatenate(sets), width, i, j)
+        assert found.tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
