@@ -2,21 +2,27 @@
 
 It is fitted on the driver on a sample of labelled rows of bounded size (SAMPLE, chosen by a hash
 of the id), and applied to all documents where they lie: the weights are a fixed size, there is no
-shuffle of texts.
+shuffle of texts. The sample's features come to the driver in parts and lie there in a temporary file,
+so that its memory doesn't depend on how long the texts are.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import materialise
 from ._text import Words, mix, raw, slices
 
 SAMPLE, BUCKETS, STEPS, BINS = 20_000, 1 << 16, 80, 16
+#: Features that a step looks at at once, and bytes of features that come to the driver at once.
+CHUNK, PART_BYTES = 1 << 20, 8 << 20
 _CLASS = np.zeros(256, np.uint8)  # 1: symbols, 2: capitals, 3: digits, 4: letters, 5: white
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
 _CLASS[65:91], _CLASS[48:58], _CLASS[97:123], _CLASS[128:] = 2, 3, 4, 4
@@ -72,20 +78,28 @@ def _scores(row: np.ndarray, feature: np.ndarray, n: int, weights: np.ndarray) -
     return np.stack([np.bincount(row, w[feature], n) for w in weights * _VALUE], axis=1)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, classes: int, steps: int = STEPS, penalty: float = 1e-3) -> np.ndarray:
-    """Weights (classes, WIDTH) by maximum likelihood with an L2 penalty, full-batch Adam."""
+def fit(feature: np.ndarray, lengths: np.ndarray, labels: np.ndarray, classes: int, steps: int = STEPS, penalty: float = 1e-3) -> np.ndarray:
+    """Weights (classes, WIDTH) by maximum likelihood with an L2 penalty, full-batch Adam. feature: those
+    of the first row, `lengths` says how many, then those of the next; it may lie in a file."""
     weights, first, second = (np.zeros((classes, WIDTH)) for _ in range(3))
-    if not len(rows):
+    n = len(lengths)
+    if not n:
         return weights
-    lengths = np.array([len(r) for r in rows])  # every text has features, as statistics are some
-    starts, n = np.cumsum(lengths) - lengths, len(rows)
-    feature = np.concatenate(rows)
-    rows.clear()
+    ends, cuts = np.cumsum(lengths), [0]  # every text has features, as statistics are some
+    while cuts[-1] < n:
+        base = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, base + CHUNK, "right"))))
     wanted = np.eye(classes)[labels]
     for step in range(1, steps + 1):
-        scores = np.stack([np.add.reduceat(w[feature], starts) for w in weights * _VALUE], axis=1)
-        error = (softmax(scores) - wanted) / n
-        slope = np.stack([np.bincount(feature, np.repeat(error[:, c], lengths), WIDTH) for c in range(classes)]) * _VALUE + penalty * weights
+        held = np.zeros((classes, WIDTH))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            starts = ends[a:b] - lengths[a:b]
+            part = feature[starts[0] : ends[b - 1]].astype(np.intp)
+            scores = np.stack([np.add.reduceat(w[part], starts - starts[0]) for w in weights * _VALUE], axis=1)
+            error = (softmax(scores) - wanted[a:b]) / n
+            for c in range(classes):
+                held[c] += np.bincount(part, np.repeat(error[:, c], lengths[a:b]), WIDTH)
+        slope = held * _VALUE + penalty * weights
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         weights = weights - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
@@ -116,12 +130,22 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, classes: int, id_co
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     placed = texts.select(F.xxhash64("id").alias("place"), F.col("id").cast("string").alias("id_text"), F.xxhash64("text").alias("text_hash"), "label", "text")
-    order = [*_PLACE[:2], "label", _PLACE[2]]
-    found = placed.mapInArrow(_collect, "place long, id_text string, text_hash long, label int, features binary").orderBy(*order).limit(sample).select("label", "features").toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
-    known = found.column("label").to_numpy()
-    del found
-    return fit(rows, known, classes)
+    # Rows that agree in the order are alike; a number tells them apart, so that they needn't share a partition.
+    order = [*_PLACE[:2], "label", _PLACE[2], "number"]
+    found = materialise(
+        placed.mapInArrow(_collect, "place long, id_text string, text_hash long, label int, features binary").withColumn("number", F.monotonically_increasing_id()), "labelled-features"
+    )
+    parts = max(1, -(-(found.agg(F.sum(F.length("features"))).first()[0] or 0) // PART_BYTES))
+    rows = found.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("label", "features").toLocalIterator()
+    known, lengths = [], []
+    with tempfile.TemporaryFile() as file:
+        for label_, features in islice(rows, sample):
+            file.write(features)
+            known.append(label_)
+            lengths.append(len(features) // 4)
+        file.flush()
+        feature = np.memmap(file, np.int32, "r") if lengths else np.zeros(0, np.int32)
+        return fit(feature, np.array(lengths, np.int64), np.array(known, np.int64), classes)
 
 
 def posteriors(column: pa.Array, weights: np.ndarray) -> np.ndarray:

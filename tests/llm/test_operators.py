@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 from math import comb
 
 import numpy as np
@@ -584,6 +585,33 @@ def test_training_sample_is_bounded(spark):
     assert classify.train(docs, labels, F.col("quality"), 2, sample=10).shape == (2, classify.WIDTH)
 
 
+def test_training_on_long_texts_takes_little_memory_of_the_driver(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 30_000))) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(160)], "doc_id long, quality int")
+    row, feature = classify.text_features(pa.array(texts))
+    assert len(feature) > 3_500_000  # 14 MB as the driver gets them, 28 MB for each array of a step's numbers
+    docs.count()
+    tracemalloc.start()
+    monkeypatch.setattr(classify, "CHUNK", 1 << 17, raising=False)
+    monkeypatch.setattr(classify, "PART_BYTES", 1 << 20, raising=False)
+    monkeypatch.setattr(classify.fit, "__defaults__", (3, 1e-3))
+    found = classify.train(docs, labels, F.col("quality"), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    docs.unpersist()
+    assert peak < 20e6
+    monkeypatch.setattr(classify, "CHUNK", 1 << 30)
+    place = {x: i for i, x in enumerate(r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect())}
+    at = np.searchsorted(row, np.arange(161))
+    rows = [feature[at[i] : at[i + 1]] for i in place]
+    whole = classify.fit(np.concatenate(rows), np.array([len(x) for x in rows]), np.array([int(i % 3 > 0) for i in place]), 2)
+    assert np.allclose(found, whole, atol=1e-7)
+
+
 def test_few_pairs_of_many_sets_in_one_bucket():
     """Pairs spread over a large bucket cost what they are, not the bucket's sets squared times its n-grams."""
     rng, n, size = np.random.default_rng(3), 6000, 60
