@@ -16,7 +16,8 @@ that the least hash of its 4-grams chooses, which equal windows share, and neigh
 one shard travel together as a stretch; a short block belongs to a shard of blocks that its own hash
 chooses. A host above BIG_BYTES of HTML is sorted in shards of about that size, and the covered
 places return to its pages by a join; a smaller host is one task. Stretches with the same words, as
-those of a footer, go to their shard once a batch of pages, with the places where they lie.
+those of a footer, go to their shard once a batch of pages (BATCH_PAGES, or fewer whose words reach
+BATCH_BYTES), with the places where they lie.
 
 Defined results: null html is an empty page; a null or unreadable url has the host ""; rows with a
 null id are left out; rows that repeat an id are one page, so a repeat between them isn't one
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ from ._shared import materialise
 from ._text import SLICE_BYTES, _BASE, _power_tables, mix
 
 MIN_TOKENS, BIG_BYTES, MOST_BROADCAST = 20, 16 << 20, 8 << 20
+BATCH_PAGES, BATCH_BYTES = 10_000, 128 << 20
 _GRAM = 4
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<[^<>]*>")
@@ -220,7 +223,7 @@ def _whole_host(depth: int):
 def _stretches(part: pa.RecordBatch, depth: int) -> Iterator[tuple[int, str, int, int, bytes]]:
     """Row, host, shard, first token and words of the stretches whose windows fall to one shard, and of
     short blocks, whose shards are below 0."""
-    texts = _texts(part.column("text"))
+    texts = [blocks(x).encode("utf-8", "replace") for x in part.column("html").to_pylist()]
     tokens, first = token_hashes(texts)
     starts, ends = short_blocks(texts, tokens, depth)
     cold = np.searchsorted(starts, first)
@@ -247,23 +250,45 @@ _PIECES = "host string, shard long, counts array<int>, pages array<long>, rows a
 
 
 def _divide(depth: int):
-    """Pages of large hosts to the distinct stretches of a batch and their places, a row for each shard."""
+    """Pages of large hosts to the distinct stretches of a batch and their places, a row for each shard.
+    A place is three small numbers in arrays, as a batch has hundreds of them a page."""
+
+    def flush(shards: dict, pages: np.ndarray, rows: np.ndarray, pack: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+        for (host, shard), (held, kinds, at, starts) in shards.items():
+            kinds, at, starts = (np.frombuffer(x, np.int32) for x in (kinds, at, starts))
+            order = np.argsort(kinds, kind="stable")
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+            columns = [
+                pa.array([host], pa.string()), pa.array([shard], pa.int64()), one(np.bincount(kinds, minlength=len(held)).astype(np.int32)),
+                one(pages[at[order]]), one(rows[at[order]]), one(starts[order]), pa.array([pack.compress(b"\n".join(held))], pa.binary()),
+            ]
+            yield pa.record_batch(columns, names=[c.split()[0] for c in _PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
+        shards: dict[tuple[str, int], tuple[dict[bytes, int], array, array, array]] = {}
+        pages, rows, count, size = [], [], 0, 0
         for batch in batches:
-            shards: dict[tuple[str, int], dict[bytes, list]] = {}
-            pages, rows = (batch.column(c).to_pylist() for c in ("page_id", "row"))
             for s in range(0, batch.num_rows, 256):
-                for d, host, shard, start, words in _stretches(batch.slice(s, 256), depth):
-                    shards.setdefault((host, shard), {}).setdefault(words, []).append((pages[s + d], rows[s + d], start))
-            keys = list(shards)
-            flat = lambda i, kind: pa.array([[x[i] for v in shards[k].values() for x in v] for k in keys], pa.list_(kind))
-            columns = [
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([[len(v) for v in shards[k].values()] for k in keys], pa.list_(pa.int32())),
-                flat(0, pa.int64()), flat(1, pa.int32()), flat(2, pa.int32()), pa.array([pack.compress(b"\n".join(shards[k])) for k in keys], pa.binary()),
-            ]
-            yield pa.record_batch(columns, names=[c.split()[0] for c in _PIECES.split(", ")])
+                part = batch.slice(s, 256)
+                for d, host, shard, start, words in _stretches(part, depth):
+                    if (own := shards.get((host, shard))) is None:
+                        own = shards[host, shard] = {}, array("i"), array("i"), array("i")
+                    held = own[0]
+                    if (kind := held.get(words)) is None:
+                        kind = held[words] = len(held)
+                        size += len(words)
+                    own[1].append(kind)
+                    own[2].append(count + d)
+                    own[3].append(start)
+                pages.append(part.column("page_id").to_numpy())
+                rows.append(part.column("row").to_numpy())
+                count += part.num_rows
+                if count >= BATCH_PAGES or size >= BATCH_BYTES:
+                    yield from flush(shards, np.concatenate(pages), np.concatenate(rows), pack)
+                    shards, pages, rows, count, size = {}, [], [], 0, 0
+        if count:
+            yield from flush(shards, np.concatenate(pages), np.concatenate(rows), pack)
 
     return run
 
@@ -325,7 +350,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     large = pages.join(big, "host").select("page_id", "host", F.hash("host", "html").alias("row"), "shards", "html")
     packed = large.mapInArrow(_compress, "page_id long, host string, row int, shards int, text binary")
     spans = (
-        packed.mapInArrow(_divide(min_tokens), _PIECES).groupBy("host", "shard").applyInArrow(_shard(min_tokens), "page_id long, row int, start int, stop int")
+        large.mapInArrow(_divide(min_tokens), _PIECES).groupBy("host", "shard").applyInArrow(_shard(min_tokens), "page_id long, row int, start int, stop int")
         .groupBy("page_id", "row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     )
     texts = packed.select("page_id", "host", "row", "text")

@@ -10,6 +10,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from larkspur.llm import classify, extraction, mixing, near, packing, pii, repeats, rules, sites, tokens, topk
 
@@ -99,6 +100,33 @@ def test_extraction_removes_short_repeated_blocks_by_default(spark, big):
         assert found[i] == f"{b[6]} {b[7]}"  # only the article is left, an ad's words inside it included
 
 
+def test_places_of_stretches_take_little_memory(monkeypatch):
+    rng = random.Random(7)
+    menu = [prose(rng, rng.randint(2, 30)) for _ in range(60)]
+    pages = ["".join(f"<p>{x}</p>" for x in menu) + f"<p>{prose(rng, 8)}</p>" for _ in range(2000)]
+    packed = [zstandard.compress(extraction.blocks(x).encode()) for x in pages]
+    n = range(len(pages))
+    columns = {"page_id": pa.array(n, pa.int64()), "host": pa.array(["h" for _ in n]), "row": pa.array(n, pa.int32()), "shards": pa.array([3 for _ in n], pa.int32()), "html": pa.array(pages), "text": pa.array(packed, pa.binary())}
+    batches = pa.table(columns).to_batches()
+
+    def found():
+        table = pa.Table.from_batches(list(extraction._divide(20)(iter(batches))))
+        shards = [extraction._shard(20)(table.filter(pa.array([x == k for x in table["shard"].to_pylist()]))) for k in sorted(set(table["shard"].to_pylist()))]
+        return sorted(set(zip(*(pa.concat_tables(shards)[c].to_pylist() for c in ("page_id", "start", "stop")))))
+
+    for b in extraction._divide(20)(iter(batches[:1])):  # tables of powers are made once
+        pass
+    tracemalloc.start()
+    for b in extraction._divide(20)(iter(batches)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 27e6
+    whole = found()
+    monkeypatch.setattr(extraction, "BATCH_PAGES", 300, raising=False)
+    assert found() == whole
+
+
 # --- 2 --------------------------------------------------------------------------------------------
 
 
