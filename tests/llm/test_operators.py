@@ -655,6 +655,22 @@ def test_few_pairs_of_many_sets_in_one_bucket():
     assert found.column("root").to_pylist() == [*range(n // 2)] * 2
 
 
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """Else those of a join's first step lie on disk beside all later ones."""
+    files = lambda: {f.getName() for f in map(store.apply, range(store.size())) if f.getName().startswith("shuffle_")}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    store = disk.getAllFiles()
+    before = files()
+    table = near.materialise(spark.range(1000).repartition(3, "id"), "shuffled")
+    for _ in range(20):
+        store = disk.getAllFiles()
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert table.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_overlaps_of_pairs():
     rng = np.random.default_rng(4)
     for n, width in ((40, 90), (5000, 9000)):  # tiles, and pair by pair
