@@ -1,4 +1,4 @@
-"""Hash embeddings, and exact cosine search by blocks of vectors."""
+"""Hash embeddings, and exact cosine search that keeps the best of each query while vectors pass."""
 
 from __future__ import annotations
 
@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_tokens
+from ..scratch import materialise
 from .lexical import top
 
 DIMENSIONS, BLOCK = 64, 2048
+#: Numbers of a block of vectors, queries compared at once, bytes of queries that are sent to all tasks, and
+#: pairs of blocks that a task's Python takes at once.
+VALUES, AT_ONCE, SENT_BYTES, PAIRS = 1 << 17, 256, 16 << 20, 8
 
 
 def _embed(dimensions: int):
@@ -48,42 +52,121 @@ def hash_embedding(texts: DataFrame, id_col: str, text_col: str, dimensions: int
     return rows.mapInArrow(_embed(dimensions), f"`{id_col}` long, vector array<double>")
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists as rows, padded with zeros; what is null is NaN."""
+    lengths = column.value_lengths().to_numpy()
+    out = np.zeros((len(column), int(lengths.max(initial=0))))
+    row = np.repeat(np.arange(len(column)), lengths)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of at most BLOCK rows and about VALUES numbers."""
     for batch in batches:
-        for s in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(s, BLOCK)
-            vectors = part.column("vector").to_pylist()
-            width = max(map(len, vectors))
-            out = np.zeros((len(vectors), width))
-            for i, v in enumerate(vectors):
-                out[i, : len(v)] = v
-            yield pa.record_batch([pa.array([part.column("id").to_numpy().tobytes()]), pa.array([width], pa.int32()), pa.array([out.tobytes()])], names=["ids", "width", "vectors"])
+        widest = int(batch.column("vector").value_lengths().to_numpy().max(initial=0))
+        step = max(64, min(BLOCK, VALUES // max(1, widest)))
+        for s in range(0, batch.num_rows, step):
+            part = batch.slice(s, step)
+            yield part.column("id").to_numpy(), _matrix(part.column("vector"))
 
 
-def _unit(ids: bytes, width: int, vectors: bytes, use: int) -> tuple[np.ndarray, np.ndarray]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, vectors in _blocks(batches):
+        yield pa.record_batch([pa.array([ids.tobytes()]), pa.array([vectors.shape[1]], pa.int32()), pa.array([vectors.tobytes()])], names=["ids", "width", "vectors"])
+
+
+def _read(ids: bytes, width: int, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
     found = np.frombuffer(ids, np.int64)
-    v = np.frombuffer(vectors).reshape(len(found), width)[:, :use]
+    return found, np.frombuffer(vectors).reshape(len(found), width)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return found, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm != 0)
+
+
+class _Nearest:
+    """The k most similar vectors of some queries, of those that have passed. A block's products in single
+    precision that can't reach the k-th best so far are left out at once; the rest is computed in full, and
+    waits until it is worth sorting."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, own: bool):
+        self.ids, self.vectors, self.k, self.own, self.use = ids, vectors, k, own, -1
+        self.bound = np.full(len(ids), -np.inf)
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {s: [] for s in range(0, len(ids), AT_ONCE)}
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        use = min(self.vectors.shape[1], vectors.shape[1])
+        if use != self.use:
+            self.use, self.q = use, _unit(self.vectors[:, :use])
+            self.short = self.q.astype(np.float32)
+        x, wanted, slack = _unit(vectors[:, :use]), self.k + self.own, 2.5e-7 * (use + 8)  # of a product of single precision
+        short = x.astype(np.float32).T
+        for s, held in self.held.items():
+            about = self.short[s : s + AT_ONCE] @ short
+            least = self.bound[s : s + AT_ONCE] - 1e-9 - slack
+            if len(ids) > wanted and np.isneginf(least).any():
+                about[np.isnan(about)] = -np.inf
+                least = np.maximum(least, np.partition(about, len(ids) - wanted, axis=1)[:, len(ids) - wanted] - 1e-9 - 2 * slack)
+            row, column = np.divmod(np.flatnonzero((about >= least.astype(np.float32)[:, None]).ravel()), max(1, len(ids)))
+            value, found = np.einsum("ij,ij->i", self.q[s + row], x[column]), ids[column]
+            good = value > -np.inf
+            if self.own:
+                good &= found != self.ids[s + row]
+            if good.any():
+                held.append((row[good], found[good], value[good]))
+                if len(held) == 1 or sum(len(h[0]) for h in held[1:]) > AT_ONCE * self.k:
+                    self._cut(s)
+
+    def _cut(self, s: int) -> None:
+        row, found, value = (np.concatenate(x) for x in zip(*self.held[s]))
+        near = np.round(value, 9)
+        order = np.lexsort((found, -near, row))
+        row, found, value, near = row[order], found[order], value[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.k - 1
+        self.bound[s + row[last]] = near[last]
+        self.held[s] = [(row[place < self.k], found[place < self.k], value[place < self.k])]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for s in self.held:
+            if self.held[s]:
+                self._cut(s)
+                row, found, value = self.held[s][0]
+                yield pa.record_batch([pa.array(self.ids[s + row]), pa.array(found), pa.array(value)], names=["query_id", "chunk_id", "score"])
+
+
+def _pass(asked, k: int, own: bool):
+    """All queries against the vectors of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [_Nearest(*_read(*block), k, own) for block in asked.value]
+        for ids, vectors in _blocks(batches):
+            for b in best:
+                b.add(ids, vectors)
+        for b in best:
+            yield from b.rows()
+
+    return run
 
 
 def _search(k: int, own: bool):
+    """A block of queries and the blocks of vectors that pass it, then the next one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, best = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                use = min(row["width"], row["q_width"])
-                q_ids, q = _unit(row["q_ids"], row["q_width"], row["q_vectors"], use)
-                ids, x = _unit(row["ids"], row["width"], row["vectors"], use)
-                by_id = np.argsort(ids, kind="stable")
-                ids, x = ids[by_id], x[by_id]
-                for s in range(0, len(q_ids), 256):
-                    score = q[s : s + 256] @ x.T
-                    if own:
-                        score[q_ids[s : s + 256, None] == ids] = -np.inf
-                    order = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(score, order, 1)
-                    good = value > -np.inf
-                    yield pa.record_batch([pa.array(np.repeat(q_ids[s : s + 256], good.sum(1))), pa.array(ids[order[good]]), pa.array(value[good])], names=["query_id", "chunk_id", "score"])
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                if row["q_number"].as_py() != number:
+                    if best is not None:
+                        yield from best.rows()
+                    number = row["q_number"].as_py()
+                    best = _Nearest(*_read(row["q_ids"].as_py(), row["q_width"].as_py(), row["q_vectors"].as_py()), k, own)
+                best.add(*_read(row["ids"].as_buffer(), row["width"].as_py(), row["vectors"].as_buffer()))
+        if best is not None:
+            yield from best.rows()
 
     return run
 
@@ -93,15 +176,21 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, candidates: Col
 
     vectors: chunk_id, vector and what `candidates` speaks of; queries: query_id, vector. Of two
     lengths the shorter counts; a zero or empty vector has the similarity 0; null vectors are left
-    out. Blocks of BLOCK rows are multiplied pair by pair, so that a task holds two blocks, and
-    k rows a query and block are shuffled. Equal scores, to 9 decimals, are ranked by chunk_id.
+    out. Queries of up to SENT_BYTES are sent to the tasks that make the vectors; of more, partitions of
+    blocks meet pair by pair, and a task holds a block of queries while the vectors pass. k rows a query
+    and task are shuffled. Equal scores, to 9 decimals, are ranked by chunk_id.
     """
-    layout = "ids binary, width int, vectors binary"
+    layout, found = "ids binary, width int, vectors binary", "query_id long, chunk_id long, score double"
     double = F.transform("vector", lambda x: x.cast("double")).alias("vector")
     if candidates is not None:
         vectors = vectors.where(candidates)
-    x = vectors.where("vector IS NOT NULL").select(F.col("chunk_id").cast("long").alias("id"), double).mapInArrow(_pack, layout)
-    q = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), double).mapInArrow(_pack, layout)
-    pairs = q.select(*(F.col(c).alias(f"q_{c}") for c in q.columns)).crossJoin(x)
-    found = pairs.mapInArrow(_search(k, exclude_self), "query_id long, chunk_id long, score double")
-    return top(found, k, F.round("score", 9).desc(), F.col("chunk_id"))
+    x = vectors.where("vector IS NOT NULL").select(F.col("chunk_id").cast("long").alias("id"), double)
+    q = materialise(queries.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), double).mapInArrow(_pack, layout), "query-blocks")
+    if (q.agg(F.sum(F.length("vectors"))).first()[0] or 0) <= SENT_BYTES:
+        asked = q.sparkSession.sparkContext.broadcast([(bytes(r.ids), r.width, bytes(r.vectors)) for r in q.collect()])
+        return top(x.mapInArrow(_pass(asked, k, exclude_self), found), k, F.round("score", 9).desc(), F.col("chunk_id"))
+    x = materialise(x.mapInArrow(_pack, layout), "vector-blocks")
+    numbered = q.select(F.monotonically_increasing_id().alias("q_number"), *(F.col(c).alias(f"q_{c}") for c in q.columns))
+    pairs = numbered.hint("shuffle_replicate_nl").crossJoin(x)
+    best = materialise(pairs.mapInArrow(_search(k, exclude_self), found), "nearest", PAIRS)
+    return top(best, k, F.round("score", 9).desc(), F.col("chunk_id"))

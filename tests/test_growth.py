@@ -2,9 +2,10 @@
 
 import math
 
+import numpy as np
 import pytest
 
-from larkspur.operators import lexical
+from larkspur.operators import dense, lexical
 
 
 def plan(df):
@@ -43,3 +44,29 @@ def test_bm25_scores_texts_where_they_lie(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, 7), (2, 300), (2, 7)], "query_id long, chunk_id long")
     some = lexical.bm25(chunks, asked, 9, among=pairs).collect()
     assert {(r.query_id, r.chunk_id): round(r.score, 9) for r in some} == {(q, i): round(dict(expected(t, 999))[i], 9) for q, i, t in ((1, 7, "common rare7 rare7"), (2, 300, "word1 word2"))}
+
+
+def test_cosine_keeps_the_best_while_vectors_pass(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-2, 3, (500, 6)).astype(float)  # many equal scores
+    v[7], v[9, 2] = 0, np.nan
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, None)], "chunk_id long, vector array<double>").repartition(3)
+    asked = rows.withColumnRenamed("chunk_id", "query_id")
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    with np.errstate(invalid="ignore"):
+        u = np.where(norm == 0, 0, v / np.where(norm == 0, 1, norm))
+    monkeypatch.setattr(dense, "AT_ONCE", 50)
+    score = u @ u.T
+    wanted = {}
+    for i in range(500):
+        order = sorted((j for j in range(500) if j != i and score[i, j] == score[i, j]), key=lambda j: (-round(score[i, j], 9), j))
+        wanted |= {(i, n): j for n, j in enumerate(order[:4], 1)}
+    for most in (1 << 20, 100):  # queries that are sent to all tasks, and such that meet blocks
+        monkeypatch.setattr(dense, "SENT_BYTES", most)
+        monkeypatch.setattr(dense, "BLOCK", 100)
+        found = dense.cosine_top_k(rows, asked, 4, exclude_self=True)
+        assert {(r.query_id, r["rank"]): r.chunk_id for r in found.collect()} == wanted
+    best = dense._Nearest(np.arange(500), u[:, :2], 3, True)
+    for s in range(0, 500, 100):
+        best.add(np.arange(s, s + 100), u[s : s + 100, :2])
+    assert sum(b.num_rows for b in best.rows()) <= 3 * 500  # not k a query and block
