@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import hash_tokens
 from ..scratch import materialise
@@ -52,6 +53,22 @@ def hash_embedding(texts: DataFrame, id_col: str, text_col: str, dimensions: int
     return rows.mapInArrow(_embed(dimensions), f"`{id_col}` long, vector array<double>")
 
 
+def with_hash_vectors(rows: DataFrame, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """rows with hash_embedding's vector, each made where its row lies."""
+    own, embed = rows.columns, _embed(dimensions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(s, BLOCK)
+                tokens = pa.record_batch([pa.nulls(part.num_rows), part.column(len(own))], names=["id", "tokens"])
+                for made in embed(iter([tokens])):
+                    yield pa.record_batch([*part.columns[:-1], made.column("vector")], names=[*own, "vector"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return rows.select(*(F.col(f"`{c}`") for c in own), hash_tokens(F.col(text_col))).mapInArrow(run, schema)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Lists as rows, padded with zeros; what is null is NaN."""
     lengths = column.value_lengths().to_numpy()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import rerank_tokens
+from ..scratch import materialise
 from .lexical import top
 
 RRF_K, RERANK_WEIGHT, RETRIEVAL_WEIGHT = 60, 0.65, 0.35
@@ -37,8 +38,9 @@ def identity_rerank(results: DataFrame, k: int) -> DataFrame:
 
 
 def lexical_rerank(results: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Number of common words plus a hundredth of the score; only the results' texts are read."""
-    words = results.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
+    """Number of common words plus a hundredth of the score. Results are written first, so that their size
+    is known and the texts needn't be shuffled to meet them."""
+    words = materialise(results, "results").join(chunks.select("chunk_id", "content"), "chunk_id").join(queries, "query_id")
     common = F.size(F.array_intersect(rerank_tokens(F.col("query")), rerank_tokens(F.col("content"))))
     scored = words.select("query_id", "chunk_id", F.concat("source", F.lit("+rerank")).alias("source"), F.col("rank").alias("_old"), (common + 0.01 * F.col("score")).alias("score"))
     return top(scored, k, F.round("score", 9).desc(), F.col("_old")).drop("_old")

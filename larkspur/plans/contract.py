@@ -19,7 +19,7 @@ from ..operators.dense import cosine_top_k, hash_embedding
 from ..operators.fusion import blended_rerank, identity_rerank, lexical_rerank, rrf
 from ..operators.lexical import bm25, document_frequencies, document_lengths
 from ..providers import HashEmbedder
-from ..scratch import scratch_path
+from ..scratch import materialise, scratch_path
 from ..search import Hybrid, Hyde, MultiQuery
 from ..stores import Ingestor, TableKeywords, TableStore, TableVectors
 
@@ -263,9 +263,10 @@ w AS (SELECT *, CASE WHEN rh - rl < 1e-12 THEN 0.5 ELSE (r - rl) / (rh - rl) END
 SELECT query_id, chunk_id, round(0.65 * rn + 0.35 * sn, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY round(0.65 * rn + 0.35 * sn, 9) DESC, round(rn, 9) DESC, remote NULLS LAST, place) AS rank FROM w QUALIFY rank <= 8""")
 def rerank_blend(spark, sf_dir):
-    """The scores of the reranker are those of BM25, here over all documents."""
-    given = bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 2**31 - 1).select("query_id", "chunk_id", F.col("score").alias("rerank_score"))
-    return _show(blended_rerank(hybrid(spark, sf_dir), given, 8))
+    """The scores of the reranker are those of BM25 over all documents, of what is to be ranked."""
+    found = materialise(hybrid(spark, sf_dir), "results")
+    given = bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 2**31 - 1, among=found).select("query_id", "chunk_id", F.col("score").alias("rerank_score"))
+    return _show(blended_rerank(found, given, 8))
 
 
 # --- texts ----------------------------------------------------------------------------------------
@@ -450,7 +451,7 @@ def query_routing(spark, sf_dir):
 @query(f"""WITH {_Q}, {_bm25(10)} SELECT query_id, rank, '[' || rank || '] ' || coalesce(nullif(source, ''), 'unknown_source') || ', section ' || coalesce(nullif(lang, ''), 'n/a') || ', p.' || n_chars || ', chunk_id=' || chunk_id AS citation
 FROM b JOIN documents ON doc_id = chunk_id""")
 def citation(spark, sf_dir):
-    found = bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 10).join(chunks(spark, sf_dir).drop("content"), "chunk_id")
+    found = materialise(bm25(chunks(spark, sf_dir), asked(spark, sf_dir), 10), "results").join(chunks(spark, sf_dir).drop("content"), "chunk_id")
     name = F.regexp_extract("source", r"[^/]*$", 0)
     return found.select("query_id", "rank", expand.citation(name, F.col("lang"), F.lit(""), F.col("n_chars"), F.lit(None), F.col("chunk_id"), F.col("rank")).alias("citation"))
 
@@ -538,8 +539,9 @@ _METRICS = ["mrr", *(f"{m}_{k}" for k in evaluate.DEPTHS for m in ("recall", "pr
 def _items(spark, sf_dir) -> DataFrame:
     """Queries, the documents that quote them as gold; negative without any."""
     q, docs = asked(spark, sf_dir), chunks(spark, sf_dir).select("chunk_id", "content", "source")
-    held = evaluate.quoting(docs, q).join(docs.select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg(F.collect_set("chunk_id").alias("gold"), F.collect_set("source").alias("gold_docs"))
-    return q.join(held, "query_id", "left").withColumns({"kind": F.when(F.length("query") < 200, "short").otherwise("long"), "negative": F.col("gold").isNull()})
+    held = materialise(evaluate.quoting(docs, q), "quoting").join(docs.select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg(F.collect_set("chunk_id").alias("gold"), F.collect_set("source").alias("gold_docs"))
+    items = q.join(held, "query_id", "left").withColumns({"kind": F.when(F.length("query") < 200, "short").otherwise("long"), "negative": F.col("gold").isNull()})
+    return materialise(items, "items")
 
 
 def _measured(spark, sf_dir) -> DataFrame:
@@ -610,7 +612,8 @@ SELECT kind, count(*) AS items, count_if(NOT negative)::BIGINT AS positive_items
 def evaluate_rag(spark, sf_dir):
     """Retrieval, coverage and answers of all items, summed up over all and by kind."""
     q = asked(spark, sf_dir)
-    held = bm25(chunks(spark, sf_dir), q, 10).join(chunks(spark, sf_dir).select("chunk_id", "content", F.col("source").alias("doc")), "chunk_id")
+    found = materialise(bm25(chunks(spark, sf_dir), q, 10), "results")
+    held = materialise(found.join(chunks(spark, sf_dir).select("chunk_id", "content", F.col("source").alias("doc")), "chunk_id"), "held")
     said = F.when(F.col("query_id") % 3 == 0, "Insufficient information.").when(F.col("query_id") % 3 == 1, F.concat("query", F.lit(" It weighs 12.5 kg.")))
     answers = q.select("query_id", said.alias("answer")).where("answer IS NOT NULL")
     scored = evaluate.score_items(_items(spark, sf_dir).withColumn("expected_answer", F.col("query")), held, answers)
@@ -648,8 +651,8 @@ def _question_records(spark, sf_dir) -> DataFrame:
     none = F.lit(None).cast("int")
     return docs.select(
         F.col("doc_id").alias("record_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("pdf"), F.lit("").alias("source_path"), F.col("doc_id").cast("string").alias("section"), F.col("source").alias("section_title"),
-        none.alias("page_start"), none.alias("page_end"), tx.normalize_space(F.col("text")).alias("content"), F.col("doc_id").alias("seq"),
-    ).where("content <> ''")
+        none.alias("page_start"), none.alias("page_end"), F.explode(F.array(tx.normalize_space(F.col("text")))).alias("content"), F.col("doc_id").alias("seq"),
+    ).where("content <> ''")  # fmt: skip  # an explode, or the text would be normalised anew wherever it is used
 
 
 @query(f"""WITH {_RECORDS} SELECT doc_id AS record_id, {_HAS(questions.REQUIREMENTS)} AS requirement, {_HAS(questions.METHODS)} AS method, {_HAS(_COMMON)} AS common, {_PARAMETER} AS parameter, length(source) BETWEEN 4 AND 90 AS good_title,

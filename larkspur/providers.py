@@ -21,8 +21,9 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .operators.dense import _embed
+from .operators.dense import _embed, with_hash_vectors
 
 Transport = Callable[[str, str, dict, object], object]
 _RETRIED = (429, 500, 502, 503, 504)
@@ -244,14 +245,21 @@ class RemoteChat:
 
 def embed_column(texts: DataFrame, id_col: str, text_col: str, model: Embedder) -> DataFrame:
     """(id, vector) of every row; a null text counts as empty."""
+    return with_vectors(texts.select(id_col, text_col), text_col, model).select(id_col, "vector")
+
+
+def with_vectors(rows: DataFrame, text_col: str, model: Embedder) -> DataFrame:
+    """rows with a column vector, each made where its row lies."""
+    if type(model) is HashEmbedder:
+        return with_hash_vectors(rows, text_col, model.dimensions)
+    own = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = model.embed([t or "" for t in b.column(1).to_pylist()]) if b.num_rows else []
-            yield pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.float64()))], names=[id_col, "vector"])
+            found = model.embed([t or "" for t in b.column(text_col).to_pylist()]) if b.num_rows else []
+            yield pa.record_batch([*b.columns, pa.array(found, pa.list_(pa.float64()))], names=[*own, "vector"])
 
-    kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, vector array<double>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 def rerank_scores(results: DataFrame, queries: DataFrame, chunks: DataFrame, model: Reranker) -> DataFrame:

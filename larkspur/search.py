@@ -14,6 +14,7 @@ from .config import Config
 from .operators import expand
 from .operators.fusion import RRF_K, blended_rerank, identity_rerank, lexical_rerank, rrf
 from .providers import Chat, Embedder, Reranker, embed_column, model_hypotheses, model_rerank, model_variants, rerank_scores
+from .scratch import materialise
 from .stores import where
 
 
@@ -134,8 +135,8 @@ class Hyde:
     def search(self, queries: DataFrame, request: Request | None = None) -> DataFrame:
         plain = replace(request or Request(), metadata=None, condition=None)
         made = model_hypotheses(queries, self.generate) if hasattr(self.generate, "complete") else queries.withColumn("query", self.generate(F.col("query")))
-        by_text = self.of.search(made, replace(plain, bm25_top_k=1)).withColumn("source", F.concat("source", F.lit("+hyde")))
-        by_word = self.of.search(queries, replace(plain, vector_top_k=1))
+        by_text = materialise(self.of.search(made, replace(plain, bm25_top_k=1)).withColumn("source", F.concat("source", F.lit("+hyde"))), "by-text")
+        by_word = materialise(self.of.search(queries, replace(plain, vector_top_k=1)), "by-word")
         sizes = by_text.groupBy("query_id").count().unionByName(by_word.groupBy("query_id").count()).groupBy("query_id").agg(F.max("count").alias("most"))
         fused = rrf([by_text, by_word], None, self.rrf_k, list(self.weights))
         return fused.join(sizes, "query_id").where(F.col("rank") <= F.col("most")).drop("most")

@@ -10,14 +10,29 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .operators.dense import cosine_top_k
 from .operators.expand import matches
 from .operators.lexical import bm25
-from .providers import Embedder, Http, Transport, embed_column
+from .providers import Embedder, Http, Transport, with_vectors
 from .scratch import materialise
 
 
+def _last(rows: DataFrame) -> DataFrame:
+    """One row of each id: of repeated ids the last by the column seq, which goes, or any of equal rows.
+    Only ids are shuffled, and the rows whose id is repeated."""
+    own = [F.col(f"`{c}`") for c in rows.columns if c != "seq"]
+    often = rows.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("chunk_id").alias("again"))
+    if not often.limit(1).count():
+        return rows.select(*own)
+    same = F.col("chunk_id").eqNullSafe(F.col("again"))
+    again = rows.join(often, same, "left_semi")
+    if "seq" in rows.columns:
+        again = again.withColumn("place", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("seq").desc_nulls_last()))).where("place = 1")
+    return rows.join(often, same, "left_anti").select(*own).unionByName(again.select(*own).dropDuplicates(["chunk_id"]))
+
+
 @dataclass(frozen=True)
 class TableStore:
     """Rows by chunk_id in a Parquet folder of versions: an upsert adds a version, a row of a later one
@@ -31,16 +46,18 @@ class TableStore:
         files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
 
-    def upsert(self, rows: DataFrame) -> int:
-        """Of repeated ids in rows the last by the column seq counts, or any of equal rows. Gives the version."""
-        last = rows if "seq" not in rows.columns else rows.join(rows.groupBy("chunk_id").agg(F.max("seq").alias("seq")), ["chunk_id", "seq"]).drop("seq")
+    def upsert(self, rows: DataFrame, once: bool = False) -> int:
+        """Of repeated ids in rows the last by the column seq counts, or any of equal rows; once: no id is
+        repeated. Gives the version."""
         number = max([int(v.split("=")[1]) for v in self._versions() if v.startswith("version=")], default=-1) + 1
-        last.dropDuplicates(["chunk_id"]).write.parquet(f"{self.path}/version={number}")
+        (rows if once else _last(rows)).write.parquet(f"{self.path}/version={number}")
         return number
 
     def read(self) -> DataFrame:
-        """The present row of each id."""
+        """The present row of each id. A single version is read as it is."""
         rows = self.spark.read.option("mergeSchema", True).option("basePath", self.path).parquet(f"{self.path}/version=*")
+        if sum(v.startswith("version=") for v in self._versions()) == 1:
+            return rows.drop("version")
         newest = rows.groupBy("chunk_id").agg(F.max("version").alias("version"))
         return rows.join(newest, ["chunk_id", "version"]).drop("version")
 
@@ -254,12 +271,15 @@ class Ingestor:
     def chunks(self, rows: DataFrame) -> int:
         """rows: chunk_id, content and more; blank contents are left out. Gives how many were written."""
         kept = materialise(rows.where("trim(content) <> ''"), "ingested")
-        found = embed_column(kept, "chunk_id", "content", self.embedder)
+        last = _last(kept)
         if isinstance(self.vectors, TableVectors):
-            self.vectors.upsert(kept, found)
+            self.vectors.store.upsert(with_vectors(last, "content", self.embedder), True)
+        else:
+            self.vectors.upsert(with_vectors(kept, "content", self.embedder))
+        if isinstance(self.keywords, TableKeywords):
+            self.keywords.store.upsert(last, True)
         else:
-            self.vectors.upsert(kept.join(found, "chunk_id"))
-        self.keywords.upsert(kept)
+            self.keywords.upsert(kept)
         return kept.count()
 
     def documents(self, docs: DataFrame, size: int = 900, overlap: int = 120) -> int:
@@ -274,7 +294,7 @@ def bulk_load(records: DataFrame, embedder: Embedder, service: VectorService, re
     first result of the query `verify`."""
     kept = records.where("trim(content) <> ''")
     service.create(dimensions or len(embedder.embed(["size"])[0]), recreate)
-    sent = service.upsert(kept.join(embed_column(kept, "chunk_id", "content", embedder), "chunk_id"), batch)
+    sent = service.upsert(with_vectors(kept, "content", embedder), batch)
     out = {"read": records.count(), "sent": sent, "count": service.count()}
     if verify:
         spark = records.sparkSession

@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from larkspur.operators import dense, lexical
+from larkspur import providers, stores
+from larkspur.operators import dense, evaluate, lexical
 
 
 def plan(df):
@@ -70,3 +71,29 @@ def test_cosine_keeps_the_best_while_vectors_pass(spark, monkeypatch):
     for s in range(0, 500, 100):
         best.add(np.arange(s, s + 100), u[s : s + 100, :2])
     assert sum(b.num_rows for b in best.rows()) <= 3 * 500  # not k a query and block
+
+
+class Counted:
+    """An embedder that notes each text it is given."""
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def embed(self, texts):
+        with open(self.path, "a") as out:
+            out.writelines(t + "\n" for t in texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_stores_shuffle_ids_and_embed_a_text_once(spark, tmp_path):
+    vectors, keywords = (stores.TableStore(spark, f"{tmp_path}/{n}") for n in "vk")
+    model = Counted(tmp_path / "given")
+    rows = spark.createDataFrame([("a", "one", 1), ("a", "three", 3), ("a", "two", 2), ("b", "four", None), (None, "five", 1), ("c", " ", 1)], "chunk_id string, content string, seq int")
+    assert stores.Ingestor(model, stores.TableVectors(vectors), stores.TableKeywords(keywords)).chunks(rows) == 5
+    wanted = {("a", "three"), ("b", "four"), (None, "five")}
+    assert {(r.chunk_id, r.content) for r in keywords.read().collect()} == wanted
+    assert {(r.chunk_id, r.content, r.vector[0]) for r in vectors.read().collect()} == {(i, t, len(t)) for i, t in wanted}
+    assert sorted(open(model.path).read().split()) == ["five", "four", "three"]
+    assert not any(x in plan(keywords.read()) for x in ("Join", "Exchange"))
+    hashed = {r.chunk_id: r.vector for r in providers.with_vectors(rows, "content", providers.HashEmbedder(8)).where("content IN ('two', 'four', ' ')").collect()}
+    assert {i: providers.HashEmbedder(8).embed([t])[0] for i, t in (("a", "two"), ("b", "four"), ("c", " "))} == hashed
