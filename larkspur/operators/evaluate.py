@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..functions.text import bound, content_tokens, critical_terms, is_abstention, normalize_lower, sentences
+from ..functions.text import content_tokens, critical_terms, is_abstention, normalize_lower, sentences
 
-DEPTHS, SUPPORT = (1, 3, 5, 10), 0.55
+DEPTHS, SUPPORT, QUOTED_ROWS = (1, 3, 5, 10), 0.55, 1024
 
 
 def _let(a: Column, b: Column, f) -> Column:
@@ -77,21 +82,62 @@ def retrieval_metrics(items: DataFrame, results: DataFrame, depths: tuple[int, .
     return joined.withColumns(columns).drop("_found")
 
 
+def _mixed(words: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n numbers."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i].astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def _quoting(asked, n: int):
+    """Texts with the queries that they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = asked.value
+        texts = queries.to_pylist()
+        split = [t.split(" ") for t in texts]
+        inside = {i: w[1 : n + 1] for i, w in enumerate(split) if len(w) >= n + 2}
+        short = [i for i in range(len(texts)) if i not in inside]
+        known = pa.array(sorted({x for w in inside.values() for x in w}), pa.string())
+        rows = list(inside)
+        keys = np.array([_mixed(pc.index_in(pa.array(inside[i]), known).to_numpy(), n)[0] for i in rows], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], np.array(rows, np.int64)[order]
+        for batch in batches:
+            for s in range(0, batch.num_rows, QUOTED_ROWS):
+                part = batch.slice(s, QUOTED_ROWS)
+                content = pc.fill_null(part.column("content"), "")
+                pairs = set()
+                if inside:
+                    lists = pc.split_pattern(content, " ")
+                    word = pc.fill_null(pc.index_in(lists.flatten(), known), -1).to_numpy()
+                    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                    at = np.flatnonzero(text[: len(text) - n + 1] == text[n - 1 :]) if len(text) >= n else np.zeros(0, np.int64)
+                    at = at[(word[at] >= 0) & (word[at + n - 1] >= 0)]
+                    key = _mixed(word, n)[at]
+                    first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                    for i in np.flatnonzero(last > first).tolist():
+                        pairs |= {(int(text[at[i]]), q) for q in rows[first[i] : last[i]].tolist()}
+                    pairs = {(d, q) for d, q in pairs if texts[q] in content[d].as_py()}
+                for q in short:
+                    pairs |= {(d, q) for d in np.flatnonzero(pc.match_substring(content, texts[q]).to_numpy(zero_copy_only=False)).tolist()}
+                found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+                yield pa.record_batch([ids.take(pa.array(found[:, 1])), part.column("chunk_id").take(pa.array(found[:, 0]))], names=["query_id", "chunk_id"])
+
+    return run
+
+
 def quoting(docs: DataFrame, queries: DataFrame, n: int = 6) -> DataFrame:
     """query_id, chunk_id of the docs (chunk_id, content) whose content holds the whole query: pairs meet
     by n words inside the query, then the text is compared. Queries of fewer words are compared with
-    all docs."""
-    words = lambda c: F.split(c, " ")
-    keyed = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))
-    asked = queries.select("query_id", "query", words(F.col("query")).alias("w"))
-    long_ = asked.where(F.size("w") >= n + 2).select("query_id", "query", keyed(F.col("w"), F.lit(2)).alias("key"))
-    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: keyed(w, i)))
-    held = docs.select("chunk_id", F.explode(bound(words(F.col("content")), runs)).alias("key"))
-    pairs = held.join(long_, "key").join(docs.select("chunk_id", "content"), "chunk_id").where(F.contains("content", "query")).select("query_id", "chunk_id")
-    short = asked.where((F.size("w") < n + 2) & (F.length("query") > 0))
-    if short.limit(1).count():
-        pairs = pairs.unionByName(short.join(docs, F.contains("content", "query")).select("query_id", "chunk_id"))
-    return pairs.distinct()
+    all docs. Queries are sent to all tasks, and texts are read where they lie; only pairs are shuffled."""
+    asked = queries.select("query_id", "query").where(F.length("query") > 0).toArrow().combine_chunks()
+    held = asked.column("query_id").combine_chunks(), asked.column("query").combine_chunks()
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (docs, "chunk_id"))]
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+    return docs.select("chunk_id", "content").mapInArrow(_quoting(sent, n), f"query_id {kinds[0]}, chunk_id {kinds[1]}").distinct()
 
 
 def token_coverage(items: DataFrame, results: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
@@ -170,9 +216,10 @@ def after_filter(results: DataFrame, allowed: DataFrame | None, k: int) -> DataF
 
 
 def balanced_pick(records: DataFrame, group: str, order: list[str], count: int) -> DataFrame:
-    """Rows taken from the groups in turn. A limit, as it is a sampler."""
+    """Rows taken from the groups in turn. A limit, as it is a sampler; no more rows of a group than that
+    are shuffled."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return records.withColumn("turn", place).orderBy("turn", group, *order).limit(count)
+    return records.withColumn("turn", place).where(F.col("turn") <= count).orderBy("turn", group, *order).limit(count)
 
 
 def best_record(title: str, content: str, word: str) -> Column:

@@ -97,3 +97,12 @@ def test_stores_shuffle_ids_and_embed_a_text_once(spark, tmp_path):
     assert not any(x in plan(keywords.read()) for x in ("Join", "Exchange"))
     hashed = {r.chunk_id: r.vector for r in providers.with_vectors(rows, "content", providers.HashEmbedder(8)).where("content IN ('two', 'four', ' ')").collect()}
     assert {i: providers.HashEmbedder(8).embed([t])[0] for i, t in (("a", "two"), ("b", "four"), ("c", " "))} == hashed
+
+
+def test_quoting_reads_texts_where_they_lie(spark):
+    texts = ["a b c d e f g h i", "x a b c d e f g h", "a b c d e f g x", "aa b c d e f g hh", "short one", None, "", "b c d e f g b c d e f g h"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    asked = [(1, "a b c d e f g h"), (2, "b c d e f g h"), (3, "t o"), (4, None), (5, ""), (6, "a b c d e f g h"), (7, "c d e f g b c d e f g h")]
+    found = evaluate.quoting(docs, spark.createDataFrame(asked, "query_id long, query string"))
+    assert sorted((r.query_id, r.chunk_id) for r in found.collect()) == sorted((q, i) for q, a in asked if a for i, t in enumerate(texts) if t and a in t)
+    assert "Join" not in plan(found)
