@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: All white space of Unicode, in a form for Java and RE2.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space that normalising changes: all runs but single blanks.
+_RUN = SPACE.replace(r"\x{1c}-\x{20}", r"\x{1c}-\x{1f}") + SPACE + "*| " + SPACE + "+"
 CJK = r"\x{4e00}-\x{9fff}"
 BM25_TOKEN = rf"[a-z0-9._-]+|[{CJK}]"
 HASH_TOKEN = r"[\p{L}\p{N}]+"
@@ -35,7 +37,7 @@ def strip(text: Column) -> Column:
 
 
 def normalize_space(text: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _RUN, " "))  # what is left to strip is blanks
 
 
 def normalize_lower(text: Column) -> Column:

@@ -51,8 +51,7 @@ def records(corpus: DataFrame, pdfs: DataFrame) -> DataFrame:
 
 
 def excerpt(text: Column, most: int = 320) -> Column:
-    text = tx.normalize_space(text)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 1)), F.lit("…")))
+    return tx.bound(tx.normalize_space(text), lambda t: F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))))
 
 
 def clean_term(text: Column) -> Column:
@@ -80,7 +79,10 @@ def is_definition() -> Column:
 
 def has_word(words: list[str]) -> Column:
     """Whether title or content hold any of the words, inside others as well."""
-    text = F.lower(F.concat_ws(" ", "section_title", "content"))
+    return tx.bound(F.lower(F.concat_ws(" ", "section_title", "content")), lambda t: _holds(t, words))
+
+
+def _holds(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
 
 
@@ -89,8 +91,7 @@ def good_title() -> Column:
 
 
 def has_parameter() -> Column:
-    text = F.lower("content")
-    return text.rlike(_UNIT) | reduce(lambda a, w: a | F.contains(text, F.lit(w)), ["table", "figure", "threshold", "limit"], F.lit(False))
+    return tx.bound(F.lower("content"), lambda t: _holds(t, ["table", "figure", "threshold", "limit"]) | t.rlike(_UNIT))
 
 
 def context_key() -> Column:
@@ -103,9 +104,14 @@ def pick(pool: DataFrame, count: int, used: DataFrame | None) -> DataFrame:
     keyed = pool.withColumn("context", context_key())
     if used is not None:
         keyed = keyed.join(used.select("record_id"), "record_id", "left_anti").join(used.select("context"), "context", "left_anti")
-    first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("context").orderBy("seq", "record_id"))).where("n = 1").drop("n")
-    chosen = evaluate.balanced_pick(first, "pdf", ["seq", "record_id"], count)
-    chosen = materialise(chosen.withColumn("place", F.row_number().over(Window.orderBy("turn", "pdf", "seq", "record_id"))), "picked")
+    # without texts; those chosen get theirs afterwards
+    each = keyed.groupBy("context").agg(F.min(F.struct("seq", "record_id", "pdf")).alias("r")).select("context", "r.*")
+    few = evaluate.balanced_pick(each, "pdf", ["seq", "record_id"], count)
+    few = materialise(few.withColumn("place", F.row_number().over(Window.orderBy("turn", "pdf", "seq", "record_id"))), "chosen")
+    key = few.select(*(F.col(c).alias(f"_{c}") for c in few.columns))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), ["record_id", "seq", "pdf"], F.col("context") == F.col("_context"))
+    whole = keyed.join(F.broadcast(key), same).select(*keyed.columns, F.col("_turn").alias("turn"), F.col("_place").alias("place"))
+    chosen = materialise(whole.dropDuplicates(["place"]), "picked")
     if (found := chosen.count()) < count:
         raise ValueError(f"{count} records are wanted, but {found} are there")
     return chosen

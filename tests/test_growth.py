@@ -7,6 +7,7 @@ import pytest
 
 from larkspur import providers, stores
 from larkspur.operators import dense, evaluate, lexical
+from larkspur.plans import contract
 
 
 def plan(df):
@@ -106,3 +107,19 @@ def test_quoting_reads_texts_where_they_lie(spark):
     found = evaluate.quoting(docs, spark.createDataFrame(asked, "query_id long, query string"))
     assert sorted((r.query_id, r.chunk_id) for r in found.collect()) == sorted((q, i) for q, a in asked if a for i, t in enumerate(texts) if t and a in t)
     assert "Join" not in plan(found)
+
+
+def test_picks_shuffle_few_rows(spark):
+    rows = spark.createDataFrame([(i, "fghij"[i % 5], i % 50) for i in range(500)], "id long, pdf string, seq int")
+    few = evaluate.balanced_pick(rows, "pdf", ["seq", "id"], 7)
+    assert "WindowGroupLimit" in plan(few)
+    assert [(r.turn, r.pdf) for r in few.orderBy("turn", "pdf").collect()] == [(1, p) for p in "fghij"] + [(2, p) for p in "fg"]
+
+
+def test_question_texts_are_normalised_once(spark, tmp_path):
+    text = "The  table shall hold 5 V. " * 20
+    spark.createDataFrame([(1, text, "en", "src", 9), (2, None, "en", "src", 0), (3, " \n ", "en", "src", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = contract.question_signals(spark, str(tmp_path))
+    assert plan(found).count("regexp_replace") <= 3  # content, label's none, excerpt
+    row, = found.collect()
+    assert (row.record_id, row.requirement, row.method, row.common, row.parameter, row.good_title) == (1, True, False, False, True, False) and len(row.excerpt) == 320
